@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import OP4_SQL, op4_decontamination
+from .line_dedup import OP1_SQL, op1_line_dedup
+from .packing import op9_packing
 from .sharding import op10_sharding
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op4_decontamination": OP4_SQL,
+}
