@@ -87,19 +87,14 @@ def item_fingerprints(bench: DataFrame, window: int, gram: int) -> tuple[DataFra
     return cut(reduce(DataFrame.unionByName, parts)), short
 
 
-def _extent(window: int, gram: int) -> tuple[Column, Column]:
-    """How many words before and after the gram are equal; nulls where the gram's own words differ."""
-    side = window - gram
-    same = F.array_join(
+def _same(window: int, gram: int) -> Column:
+    """A character for each word from window - gram before the gram to as many after it: 1 where both texts have the same word."""
+    return F.array_join(
         F.transform(
-            F.sequence(F.lit(-side), F.lit(window - 1)),
+            F.sequence(F.lit(gram - window), F.lit(window - 1)),
             lambda j: F.when(F.get(F.col("w"), F.col("p") + j) == F.get(F.col("around"), F.col("off") + j), "1").otherwise("0"),
         ), "",
     )
-    before = F.length(F.regexp_extract(F.substring(same, 1, side), "1*$", 0))
-    after = F.length(F.regexp_extract(F.substring(same, side + gram + 1, side), "^1*", 0))
-    ok = F.substring(same, side + 1, gram) == "1" * gram
-    return F.when(ok, before), F.when(ok, after)
 
 
 def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -111,7 +106,8 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     ).select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "w", F.concat(F.array(F.lit(-1).cast("long")), "fingerprints").alias("fingerprints"))
     # Every document's fingerprint -1 meets this row, so that documents without hits stay.
     own = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("off"))
-    exploded = made.select("row", "doc_id", "text_hash", "w", F.explode("fingerprints").alias("f")).select(
+    exploded = made.select("row", "doc_id", "text_hash", "w", F.explode_outer("fingerprints").alias("f")).select(  # not explode: it would infer a filter that computes the fingerprints again
+       
         "row", "doc_id", "text_hash", "w", F.shiftright("f", 31).alias("k"), F.col("f").bitwiseAND(F.lit(LOW)).cast("int").alias("p")
     )
     spans = []
@@ -119,16 +115,22 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
         some = found if parts == 1 else found.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part)
         spans.append(exploded.join(F.broadcast(some.unionByName(own)), "k"))
     joined = reduce(DataFrame.unionByName, spans)
-    before, after = _extent(window, gram)
-    joined = joined.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), "item", "n", "p", "k",
-        F.when(F.col("n") == window, before).alias("before"), F.when(F.col("n") == window, after).alias("after"),
+    side = window - gram
+    # The row's number here keeps Catalyst from testing hits inside the join, which would end its generated code.
+    joined = joined.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), "item", "n", "p", "k", F.monotonically_increasing_id().alias("here"),
+        F.when(F.col("n") == window, _same(window, gram)).alias("same"),
         F.when((F.col("n") > 0) & (F.col("n") < window), F.slice("w", F.col("p") + 1, F.col("n")) == F.col("around")).alias("equal"))
+    inner = F.substring("same", side + 1, gram) == "1" * gram
+    joined = joined.withColumns({
+        "before": F.when(inner, F.length(F.regexp_extract(F.substring("same", 1, side), "1*$", 0))),
+        "after": F.when(inner, F.length(F.regexp_extract(F.substring("same", side + gram + 1, side), "^1*", 0))),
+    })
     hit = (F.col("before") + gram + F.col("after") >= window) | F.col("equal")
     start = F.when(hit, F.when(F.col("equal"), F.col("p")).otherwise(F.col("p") - F.col("before")))
     end = F.when(hit, F.when(F.col("equal"), F.col("p") + F.col("n")).otherwise(F.col("p") + gram + F.col("after")))
-    joined = joined.select("row", "doc_id", "text_hash", "n_words", "k", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct(start.alias("s"), end.alias("e"))).alias("hit"))
+    joined = joined.select("row", "doc_id", "text_hash", "n_words", "k", "here", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct(start.alias("s"), end.alias("e"))).alias("hit"))
     out = (
-        joined.where((F.col("k") == -1) | F.col("hit").isNotNull())
+        joined.where(((F.col("k") == -1) | F.col("hit").isNotNull()) & (F.col("here") >= 0))
         .groupBy("row")
         .agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
     )
