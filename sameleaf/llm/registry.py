@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .chat_format import op8_chat_format
 from .decontamination import OP4_SQL, op4_decontamination
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op9_packing
+from .secrets import op7_secret_scan
 from .sharding import op10_sharding
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_decontamination": op4_decontamination,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_chat_format": op8_chat_format,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
