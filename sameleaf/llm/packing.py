@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import keep_columns, single_threaded, table
 
-LENGTH, GRID, SENTENCE, HARD, END, CHUNK, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 600_000
+LENGTH, GRID, SENTENCE, HARD, END, CHUNK, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 1_200_000
 POWERS = (1024,)
 BETWEEN = "<|endoftext|>"
 STOPS = (".", "!", "?", "。", "！", "？")
@@ -91,6 +91,16 @@ class Words:
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), np.uint32) for x in split]
 
 
+_SHARED: dict[str, Words] = {}
+
+
+def shared_words(path: str) -> Words:
+    """One for each worker process, so that its tasks after the first know the words of those before."""
+    if path not in _SHARED:
+        _SHARED[path] = Words(path)
+    return _SHARED[path]
+
+
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The cheapest ends of runs, among the rising positions `at` (0 first; the last is always an end)."""
     near: dict[int, list[int]] = {}
@@ -167,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = Words(path), TaskContext.get().partitionId() << 36
+        words, sequence = shared_words(path), TaskContext.get().partitionId() << 36
         parts: list[tuple] = []
         held, id_type = 0, None
 
