@@ -6,15 +6,17 @@ each fill one given bin, so every coordinate fills, and two sets agree in a coor
 probability of their similarity. BANDS bands of coordinates are buckets of candidates: two sets at the
 threshold of 0.8 share none with a probability of (1 - 0.8 ^ 4) ^ 32, or 5 in 100 million.
 
-Equal sets are one class from then on. Only components are wanted, so pairs inside one component need
-no test, and no group is expanded into its pairs:
-1. In the first bands, each class proposes its likeliest partner in a bucket, and the bucket's hub.
-2. In buckets that still hold several components: a few of each class's likeliest partners elsewhere.
-3. In buckets that still do: all pairs across components whose sketches don't rule the threshold out
-   (5 standard deviations), so no cap ends the search.
-Proposals are verified on full sets, and links are contracted to components after each round. A bucket
-of more than BLOCK classes is dealt to blocks; from round 2 its largest component's members stay in one
-block each, and the others go to all blocks.
+Equal sets are one class from then on. Only components are wanted, so no bucket is expanded into pairs:
+1. In each bucket, classes whose sketches don't rule the threshold out (DEVIATIONS standard deviations
+   below it) are joined to groups: a bucket gives a tree, not its pairs, and trees are contracted. The
+   first bands go first; of the others only buckets that still hold several groups. A bucket of more
+   than BLOCK classes is dealt to blocks; then the members of its largest group stay in one block each,
+   and the others go to all.
+2. A link can only be inside a group. The texts of groups come together (once, or in large groups once
+   for each pair of BLOCK-sized blocks), full sets are made again and all their pairs counted exactly
+   inside the task, which hands on a tree of the links. Components are what these trees connect.
+So no cap ends the search, and what is shuffled is linear in the input but for the blocks of groups
+of thousands of different texts that are nearly linked.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with
 nothing; fewer words than a shingle form one shingle. Rows that share a doc_id are one node. A null
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep_columns, table
 
-SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, PARTNERS = 128, 32, 6, 512, 5, 100_000, 4
+SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2 * SKETCH, dtype=np.uint64)
 
@@ -83,6 +85,11 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (the set's fingerprint), bands, sketch (a byte for each coordinate)."""
 
@@ -92,9 +99,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                f1.append((d >> 64) - (1 << 63))
-                f2.append((d & (1 << 64) - 1) - (1 << 63))
+                d = _fingerprint(s)
+                f1.append(d[0])
+                f2.append(d[1])
                 c = sketch(s) if len(s) else None
                 bs.append(None if c is None else bands(c))
                 sk.append(None if c is None else (_mix(c) & np.uint64(255)).astype(np.uint8).tobytes())
@@ -104,11 +111,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
-# ---- proposals inside buckets
+# ---- groups of candidates
 
 
-def _pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of rows in the same group, some SLAB at a time; a row's group ends at end[row]."""
+def _pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of rows in the same group, about SLAB at a time; a row's group ends at end[row]."""
     counts = end - np.arange(len(end)) - 1
     total = np.concatenate(([0], np.cumsum(counts)))
     a = 0
@@ -120,47 +127,54 @@ def _pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         a = b
 
 
-def propose(group: np.ndarray, band: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, threshold: float, partners: int | None) -> np.ndarray:
-    """Pairs of ids to verify, for rows sorted by group. partners: how many for each row; None: all."""
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that it is connected with by the edges i - j."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (step := root[root] != root).any():
+            root[step] = root[root[step]]
+        open_ = root[i] != root[j]
+        i, j = i[open_], j[open_]
+    return root
+
+
+def _ends(group: np.ndarray) -> np.ndarray:
+    """Where each row's group ends, for rows sorted by group."""
     change = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else np.zeros(0, int)
-    end = change[np.searchsorted(change, np.arange(len(group)), "right")] if len(group) else change
-    words = sk.view(np.uint32)
-    least = (threshold - 5 * (threshold * (1 - threshold) / SKETCH) ** 0.5) * SKETCH
-    got = []
-    for i, j in _pairs(group, end):
+    return change[np.searchsorted(change, np.arange(len(group)), "right")] if len(group) else change
+
+
+def candidates(group: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, threshold: float) -> np.ndarray:
+    """Trees (id, id) over the rows of each group whose sketches don't rule a link out. Rows of one comp are connected already."""
+    least = (threshold - DEVIATIONS * (threshold * (1 - threshold) / SKETCH) ** 0.5) * SKETCH
+    left, right = [], []
+    for i, j in _pairs(_ends(group)):
         ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
         i, j = i[ok], j[ok]
-        own = (words[i] == words[j]).argmax(1) == band[i]  # else an earlier band proposes the pair
-        i, j = i[own], j[own]
-        same = (sk[i] == sk[j]).sum(1)
-        ok = same >= least
-        got.append(np.stack([i[ok], j[ok], same[ok]], 1))
-    p = np.concatenate(got) if got else np.zeros((0, 3), np.int64)
-    if partners is not None and len(p):
-        both = np.concatenate([p, p[:, [1, 0, 2]]])
-        degree = np.bincount(both[:, 0], minlength=len(group))
-        order = np.lexsort((both[:, 1], -both[:, 2], both[:, 0]))
-        both = both[order]
-        rank = np.arange(len(both)) - np.searchsorted(both[:, 0], both[:, 0])
-        hub = np.lexsort((ids, -degree, end))  # a group's rows have one end; its hub has most candidates
-        hub = hub[np.append(True, end[hub][1:] != end[hub][:-1])]
-        is_hub = np.zeros(len(group), bool)
-        is_hub[hub] = True
-        p = both[(rank < partners) | is_hub[both[:, 1]]]
-    pair = np.sort(np.stack([ids[p[:, 0]], ids[p[:, 1]]], 1), axis=1)
+        ok = (sk[i] == sk[j]).sum(1) >= least
+        left.append(i[ok])
+        right.append(j[ok])
+    if not left:
+        return np.zeros((0, 2), np.int64)
+    root = roots(len(ids), np.concatenate(left), np.concatenate(right))
+    at = np.flatnonzero(root != np.arange(len(ids)))
+    pair = np.stack([ids[at], ids[root[at]]], 1)
     return np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
 
 
-def _proposals(members: DataFrame, threshold: float, partners: int | None) -> DataFrame:
-    """a, b from members (bucket, block, band, id, comp, n, sketch); a task holds one block of a bucket and one batch."""
-    names = ["bucket", "block", "band", "id", "comp", "n"]
+def _connect(members: DataFrame, threshold: float) -> DataFrame:
+    """Candidate trees a, b from members (bucket, block, id, comp, n, sketch); a task holds one block of a bucket and one batch."""
+    names = ["bucket", "block", "id", "comp", "n"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
 
         def out(rows: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum(np.append(0, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, int)
-            p = propose(group, rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 5], sk, threshold, partners)
+            p = candidates(group, rows[:, 2], rows[:, 3], rows[:, 4], sk, threshold)
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -181,26 +195,102 @@ def _proposals(members: DataFrame, threshold: float, partners: int | None) -> Da
     return members.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(find, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "f1", "f2"), "id")
+# ---- exact verification
+
+
+def linked(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with den * intersection >= num * union; of two different blocks, where there are two, only those across."""
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    if m <= 6:
+        common = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i):
+                if min(size[i], size[j]) * den >= num * max(size[i], size[j]):
+                    common[i, j] = common[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), size)
+        order = np.argsort(column, kind="stable")
+        order = order[times[column[order]] > 1]  # what one set alone has is in no intersection
+        row, column = row[order], column[order]
+        common, step = np.zeros((m, m), np.float32), 4096
+        while len(row):
+            own = np.unique(column[: 64 * step])[:step]
+            stop = int(np.searchsorted(column, own[-1], "right"))
+            dense = np.zeros((m, len(own)), np.float32)
+            dense[row[:stop], np.searchsorted(own, column[:stop])] = 1
+            common += dense @ dense.T
+            row, column = row[stop:], column[stop:]
+    i, j = np.nonzero(np.triu(common, 1))
+    if len(np.unique(block)) == 2:
+        across = block[i] != block[j]
+        i, j = i[across], j[across]
+    c = common[i, j].astype(np.int64)
+    ok = den * c >= num * (size[i] + size[j] - c)
+    return i[ok], j[ok]
+
+
+def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id may be in wanted (id): a bitmap of BITMAP bits, at any input size, tells most others."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS INT)))").alias("m"))
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    for w, m in words.collect():
+        bitmap[w] = m
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            hit = held.value.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit == 1))
+
+    rows = keep_columns(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP)).alias("bit"))
+    return rows.mapInArrow(some, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def verified(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """Trees (a, b) of exact links inside groups (id, f1, f2, grp, m)."""
+    parts = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("block")), parts).cast("int")
+    texts = _some_of(docs, groups).join(groups, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2", "grp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    texts = texts.select("id", "text", "f1", "f2", "grp", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, blocks, sets = None, [], [], []
+        out: list[np.ndarray] = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                i, j = linked(sets, np.array(blocks), num, den)
+                root, own_ids = roots(len(ids), i, j), np.array(ids, np.int64)
+                at = np.flatnonzero(root != np.arange(len(ids)))
+                out.append(np.stack([own_ids[at], own_ids[root[at]]], 1))
+
+        def made() -> pa.RecordBatch:
+            p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for i, text, f1, f2 in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "f1", "f2")), strict=True):
+            for grp, low, high, i, own_block, text, f1, f2 in zip(*(batch.column(c).to_pylist() for c in ("grp", "low", "high", "id", "own", "text", "f1", "f2")), strict=True):
+                if (grp, low, high) != now:
+                    close()
+                    now, ids, blocks, sets = (grp, low, high), [], [], []
+                if ids and ids[-1] == i:
+                    continue
                 s = shingles(text, width)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                if ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)) == (f1, f2):
+                if _fingerprint(s) == (f1, f2):
                     ids.append(i)
-                    out.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
+                    blocks.append(own_block)
+                    sets.append(s)
+            if out:
+                yield made()
+        close()
+        yield made()
 
-    found = keep_columns(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2").mapInArrow(sets, "id long, shingles array<long>")
-    found = cut(found.dropDuplicates(["id"]))
-    both = pairs.join(found.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b").join(found.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
-    common = F.size(F.array_intersect("s", "t")).cast("long")
-    return both.select("a", "b", (F.size("s") + F.size("t")).cast("long").alias("sizes"), common.alias("common")).where(den * F.col("common") >= num * (F.col("sizes") - F.col("common"))).select("a", "b")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(n, "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "id").mapInArrow(check, "a long, b long").distinct()
 
 
 # ---- components
@@ -237,12 +327,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int
     rows = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(rows.join(sizes, "bucket"))
-    labels = classes.select("id", F.col("id").alias("comp"))
-    tested = None
-    threshold = num / den
-    for turn, partners in enumerate((1, PARTNERS, None)):
-        now = members.where(F.col("band") < FIRST) if turn == 0 else members
-        now = now.join(labels, "id")
+    alone = classes.select("id", F.col("id").alias("comp"))
+    labels, threshold = alone, num / den
+    for turn in range(2):
+        now = (members if turn else members.where(F.col("band") < FIRST)).join(labels, "id")
         blocks = F.ceil(F.col("size") / block).cast("int")
         own = F.pmod(F.xxhash64("id"), blocks).cast("int")
         if turn:
@@ -251,18 +339,13 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int
             most = now.where(F.col("size") > block).groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
             now = now.join(most, "bucket", "left")
             to = F.when((F.col("size") <= block) | (F.col("comp") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
-            now = now.select("bucket", F.explode(to).alias("block"), "band", "id", "comp")
+            now = now.select("bucket", F.explode(to).alias("block"), "id", "comp")
         else:
-            now = now.select("bucket", own.alias("block"), "band", "id", "comp")
-        pairs = _proposals(now.join(classes.select("id", "n", "sketch"), "id"), threshold, partners)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
-        links = cut(verified(docs, classes, pairs, width, num, den))
-        labels = contract(labels, links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            now = now.select("bucket", own.alias("block"), "id", "comp")
+        labels = contract(labels, cut(_connect(now.join(classes.select("id", "n", "sketch"), "id"), threshold)))
+    sizes = cut(labels.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("m")).where("m > 1"))
+    groups = cut(labels.withColumnRenamed("comp", "grp").join(sizes, "grp").join(classes.select("id", "f1", "f2"), "id"))
+    labels = contract(alone, cut(verified(docs, groups, width, num, den, block)))
     named = cut(first.join(labels, "id").select("f1", "f2", "comp"))
     out = made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "doc_id"), F.lit(True)).alias("kept"))
