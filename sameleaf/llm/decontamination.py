@@ -57,21 +57,19 @@ def with_fingerprints(df: DataFrame, text: str, window: int, gram: int, short: l
             lambda _, i: F.array_min(F.slice(F.col("__g"), i + 1, span)),
         )
     )
-    whole = [
-        F.transform(
-            F.slice("__h", F.lit(1), F.greatest(n - (k - 1), F.lit(0))),
-            lambda _, i, k=k: _pack(F.xxhash64(F.lit(k), F.slice(F.col("__h"), i + 1, k)), i),
-        )
-        for k in short
-    ]
-    return df.select("*", F.concat(kept, *whole).alias("fingerprints")).drop("__h", "__g")
+
+    def whole(k: int) -> Column:
+        runs = F.slice("__h", F.lit(1), F.greatest(n - (k - 1), F.lit(0)))
+        return F.transform(runs, lambda _, i: _pack(F.xxhash64(F.lit(k), F.slice(F.col("__h"), i + 1, k)), i))
+
+    return df.select("*", F.concat(kept, *map(whole, short)).alias("fingerprints")).drop("__h", "__g")
 
 
 def item_fingerprints(bench: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[int]]:
     """k (hash), item, n (its window's words), words around the hash's place and the place in them; and the short lengths."""
     items = cut(keep_columns(bench, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("iw"), F.col("text").alias("item_text")))
     short = sorted(r[0] for r in items.where((F.size("iw") > 0) & (F.size("iw") < window)).select(F.size("iw")).distinct().collect())
-    made = with_fingerprints(items.drop("iw"), "item_text", window, gram, short)
+    made = with_fingerprints(items.drop("iw"), "item_text", window, gram)
     at = F.col("f").bitwiseAND(F.lit(LOW)).cast("int")
     side = window - gram
     start = F.greatest(at - side, F.lit(0))
@@ -84,7 +82,7 @@ def item_fingerprints(bench: DataFrame, window: int, gram: int) -> tuple[DataFra
     for k in short:
         whole = made.where(F.size("w") == k).select("item", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
         parts.append(whole.select(F.xxhash64(F.lit(k), F.col("h")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("k"), "item", F.lit(k).alias("n"), F.col("w").alias("around"), F.lit(0).alias("off")))
-    return cut(reduce(DataFrame.unionByName, parts)), short
+    return cut(reduce(DataFrame.unionByName, parts).dropDuplicates(["k", "item", "n", "around", "off"])), short
 
 
 def _same(window: int, gram: int) -> Column:
@@ -92,7 +90,7 @@ def _same(window: int, gram: int) -> Column:
     return F.array_join(
         F.transform(
             F.sequence(F.lit(gram - window), F.lit(window - 1)),
-            lambda j: F.when(F.get(F.col("w"), F.col("p") + j) == F.get(F.col("around"), F.col("off") + j), "1").otherwise("0"),
+            lambda j: F.when(F.get(F.col("near"), F.col("at") + j) == F.get(F.col("around"), F.col("off") + j), "1").otherwise("0"),
         ), "",
     )
 
@@ -108,7 +106,7 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     own = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("off"))
     exploded = made.select("row", "doc_id", "text_hash", "w", F.explode_outer("fingerprints").alias("f")).select(  # not explode: it would infer a filter that computes the fingerprints again
        
-        "row", "doc_id", "text_hash", "w", F.shiftright("f", 31).alias("k"), F.col("f").bitwiseAND(F.lit(LOW)).cast("int").alias("p")
+        "row", "doc_id", "text_hash", "w", F.shiftright("f", 31).alias("k"), F.when(F.col("f") >= 0, F.col("f").bitwiseAND(F.lit(LOW)).cast("int")).otherwise(0).alias("p")
     )
     spans = []
     for part in range(parts):
@@ -116,10 +114,13 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
         spans.append(exploded.join(F.broadcast(some.unionByName(own)), "k"))
     joined = reduce(DataFrame.unionByName, spans)
     side = window - gram
-    # The row's number here keeps Catalyst from testing hits inside the join, which would end its generated code.
-    joined = joined.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), "item", "n", "p", "k", F.monotonically_increasing_id().alias("here"),
+    # Hits take the words around them along, not the document's. The row's number here keeps Catalyst from testing hits inside the join, which would end its generated code.
+    start = F.greatest(F.col("p") - side, F.lit(0))
+    joined = joined.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), "item", "n", "p", "k", "around", "off", F.monotonically_increasing_id().alias("here"),
+        F.slice("w", start + 1, F.col("p") + window - start).alias("near"), (F.col("p") - start).alias("at"))
+    joined = joined.select("row", "doc_id", "text_hash", "n_words", "item", "n", "p", "k", "here",
         F.when(F.col("n") == window, _same(window, gram)).alias("same"),
-        F.when((F.col("n") > 0) & (F.col("n") < window), F.slice("w", F.col("p") + 1, F.col("n")) == F.col("around")).alias("equal"))
+        F.when((F.col("n") > 0) & (F.col("n") < window), F.slice("near", F.col("at") + 1, F.col("n")) == F.col("around")).alias("equal"))
     inner = F.substring("same", side + 1, gram) == "1" * gram
     joined = joined.withColumns({
         "before": F.when(inner, F.length(F.regexp_extract(F.substring("same", 1, side), "1*$", 0))),
