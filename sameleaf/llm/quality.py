@@ -115,7 +115,7 @@ def fit_labellers(patterns: dict[str, int]) -> dict[str, float]:
     the bad ones.
     """
     names = sorted(patterns)
-    v = np.array([[int(c) for c in x] for x in names], np.int64).reshape(len(names), -1)
+    v = np.array([[int(c) for c in x] for x in names], np.int64).reshape(len(names), len(LABELLERS))
     count = np.array([patterns[x] for x in names], float)
     bad, good = (v == BAD).astype(float), (v == GOOD).astype(float)
     prior = np.array([0.1, 0.9])

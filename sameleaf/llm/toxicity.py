@@ -83,7 +83,7 @@ class Grammar:
         out, i = [], 0
         while i < len(read):
             score, n, negated, reported, target = 0.0, 0, -9, False, -9
-            pending: list[tuple[int, float]] = []
+            pending: list[tuple[int, float, int]] = []
             while i < len(read):
                 kind, weight, ends = read[i]
                 if kind == "N":
@@ -92,15 +92,21 @@ class Grammar:
                     reported = True
                 elif kind == "T":
                     target = i
-                    score += sum((TARGETED - 1) * w for at, w in pending if i - at <= REACH)
+                    for at, gain, new in pending:
+                        if i - at <= REACH:
+                            score, n = score + gain, n + new
                     pending = []
                 elif kind:
                     aimed = i - target <= REACH
-                    w = (weight if kind == "I" else THREAT * aimed) * (NEGATED if i - negated <= REACH else 1) * (REPORTED if reported else 1)
-                    score += w * (TARGETED if aimed and kind == "I" else 1)
-                    n += w > 0
+                    w = (weight if kind == "I" else THREAT) * (NEGATED if i - negated <= REACH else 1) * (REPORTED if reported else 1)
+                    if kind == "I":
+                        score, n = score + w * (TARGETED if aimed else 1), n + 1
+                        gain = (TARGETED - 1) * w
+                    else:  # a threat counts only where it is aimed at someone
+                        score, n = score + w * aimed, n + aimed
+                        gain = w
                     if not aimed:
-                        pending.append((i, w))
+                        pending.append((i, gain, int(kind == "K")))
                 i += 1
                 if ends:
                     break
