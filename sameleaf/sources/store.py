@@ -48,11 +48,14 @@ class Store:
     def export_json(self, results: DataFrame, name: str) -> None:
         results.write.mode("overwrite").json(f"{self.path}/result/{name}")
 
-    def import_json(self, name: str | None = None, groups: bool = False) -> DataFrame:
-        """Results from JSON files, also pretty-printed ones; broken files are left out."""
-        reader = self.spark.read.schema(schemas.RESULTS).option("multiLine", True).option("mode", "DROPMALFORMED")
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        return reader.json(f"{self.path}/result/{name}" if name else f"{self.path}/result")
+    def import_json(self, name: str | None = None) -> DataFrame:
+        """Results from JSON files, of one object (also pretty-printed) or of one a line; broken ones are left out."""
+        reader = self.spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        whole = reader.text(f"{self.path}/result/{name}" if name else f"{self.path}/result")
+        lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+        each = F.forall("lines", lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+        found = whole.select("value", lines.alias("lines")).select(F.explode(F.when(each, F.col("lines")).otherwise(F.array("value"))).alias("value"))
+        return found.select(F.from_json("value", schemas.RESULTS).alias("r")).select("r.*").where(F.col("uuid").isNotNull())
 
 
 def group_rows(df: DataFrame, key: str, order: str) -> DataFrame:
