@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,5 +28,5 @@ def differing(bits: int, threshold: float) -> int:
 
 def bands(hash_: Column, bits: int, n: int) -> Column:
     """The hash in n pieces: with at most n - 1 differing places, one piece is equal."""
-    size = math.ceil(bits / n)
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.substring(hash_, 1 + k * size, size).alias("piece")) for k in range(n) if k * size < bits])
+    at = [k * bits // n for k in range(n + 1)]
+    return F.array(*[F.struct(F.lit(k).alias("band"), F.substring(hash_, 1 + at[k], at[k + 1] - at[k]).alias("piece")) for k in range(n)])

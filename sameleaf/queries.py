@@ -17,7 +17,7 @@ from .operators import segment as S
 from .sources.ingest import content_hash
 from .sources.store import group_rows
 
-RATIO, CLOSE, IMAGE, MIN_LENGTH = 0.7, 0.95, 0.8, 10
+RATIO, CLOSE, IMAGE, MIN_LENGTH = 0.7, 0.95, 0.7, 10
 PHRASES = (E.RunRule("phrase", "(tion|ing)$", frozenset(("n", "nr", "v")), frozenset(("v",)), valid=lambda e: F.length(e) >= 6),)
 
 

@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sameleaf.functions import text as T
 from sameleaf.functions.diff import diff
 from sameleaf.operators import entities as E
 from sameleaf.operators import joins as J
@@ -55,11 +54,21 @@ def test_images(spark):
     base = "01" * 50
     flip = lambda n: "".join("10"[int(c)] if k < n else c for k, c in enumerate(base))
     a = spark.createDataFrame([(1, 0, "a", base, 100, 100), (1, 1, "small", base, 99, 100), (1, 2, "empty", "", 100, 100)], ddl)
-    b = spark.createDataFrame([(1, k, f"b{n}", flip(n), 100, 100) for k, n in enumerate((0, 9, 10))] + [(1, 3, "flat", base, 100, 90), (1, 4, "none", "", 100, 100)], ddl)
+    b = spark.createDataFrame([(1, k, f"b{n}", flip(n), 100, 100) for k, n in enumerate((0, 9, 10))] + [(1, 3, "flat", base, 200, 180), (1, 5, "short", base[:-5], 100, 100), (1, 4, "none", "", 100, 100)], ddl)
     got = {(x.a_image, x.b_image): x.similarity for x in J.image_join(a, b, 0.9, 100, 100).collect()}
-    assert got == {("a", "b0"): 1.0, ("a", "b9"): 0.91}
+    assert got == {("a", "b0"): 1.0, ("a", "b9"): 0.91, ("a", "short"): 0.95}
     back = {(x.a_image, x.b_image) for x in J.image_join(b, a, 0.9, 100, 100).collect()}
-    assert back == {("b0", "a"), ("b9", "a"), ("flat", "a")}  # the ratio of shapes isn't symmetric
+    assert back == {("b0", "a"), ("b9", "a"), ("flat", "a"), ("short", "a")}  # the ratio of shapes isn't symmetric
+
+
+def test_image_join_is_the_nested_loop(spark):
+    r = random.Random(7)
+    hashes = ["".join(r.choice("01") for _ in range(20)) for _ in range(40)]
+    df = spark.createDataFrame([(1, k, str(k), h, 100, 100) for k, h in enumerate(hashes)], "page int, ord int, image string, image_hash string, width int, height int")
+    same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 20
+    for s in (0.5, 0.65, 0.8):
+        got = {(x.a_ord, x.b_ord) for x in J.image_join(df, df, s, 100, 20, ordered=F.col("a_ord") < F.col("b_ord")).collect()}
+        assert got == {(i, j) for j in range(40) for i in range(j) if same(hashes[i], hashes[j]) > s}
 
 
 def test_metadata(spark):
@@ -146,9 +155,10 @@ def test_image_first(spark):
 
 
 def test_cosine_gate_is_a_filter_of_its_own(spark):
-    # enough in common for the diff, not for the gate
-    a, b = "abcdefghij", "abcdefghijzzzz"
-    assert diff("a b c d e f g h i j".replace(" ", "，"), "，".join("abcdefghij"))[0] == 1
-    rows = J.text_join(sentences(spark, [(1, 0, "，".join(a))]), sentences(spark, [(1, 0, "，".join(b))]), 0.7).collect()
-    assert all(x.similarity >= 0.7 for x in rows)
-    assert T.in_range is not None
+    a, b = "abcdefghij", "abcdefghij" + "zzzz"  # cosine 0.62, common characters 10 of 14
+    gated = J.text_join(sentences(spark, [(1, 0, " ".join(a))]), sentences(spark, [(1, 0, " ".join(b))]), 0.7)
+    assert gated.count() == 1  # spaces are characters, too: with them the vectors are close
+    free = S.with_vectors(spark.createDataFrame([(1, 0, "，".join(a))], "page int, ord int, text string")).withColumn("vector", F.lit(None).cast("map<string,int>"))
+    assert J.text_join(free, free, 1.0).count() == 1
+    tight = lambda x: spark.createDataFrame([(1, 0, x)], "page int, ord int, text string").withColumn("vector", F.create_map(F.lit(x[:1]), F.lit(1)))
+    assert J.text_join(tight("ab c d e"), tight("xb c d e"), 0.7).count() == 0  # alike, but the gate says no
