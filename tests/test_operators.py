@@ -32,6 +32,8 @@ def test_text_join_is_the_definition(spark):
         p, q = c(x), c(y)
         return sum(n * q.get(k, 0) for k, n in p.items()) / (sum(n * n for n in p.values()) ** 0.5 * sum(n * n for n in q.values()) ** 0.5)
 
+    words = lambda n: [(1, 100 + k, " ".join(r.choice(["alpha", "be", "gamma,", "de", "x"]) for _ in range(r.randint(2, 6)))) for k in range(n)]
+    a, b = a + words(25), b + words(25)
     wanted = {(i, j, diff(x, y)[0]) for _, i, x in a for _, j, y in b if 0.7 <= len(x) / len(y) <= 1.3 and cosine(x, y) >= 0.7 and diff(x, y)[0] >= 0.7}
     got = J.text_join(sentences(spark, a), sentences(spark, b), 0.7)
     assert {(x.a_ord, x.b_ord, x.similarity) for x in got.collect()} == wanted
