@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"[0-9A-Za-z_ª­ºÀ-ÖØ-öø-ˆˈ-˗˞-˿Ḁ-ỿ]+|\S")
 
 
+def units(text: str) -> int:
+    """Length in UTF-16 code units."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+
+
 def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in TOKEN.finditer(text)]
 
@@ -89,21 +94,21 @@ def _mark(text: str, parts: list[tuple[str, int, int]], common: set[int]) -> tup
 
 def diff(a: str, b: str) -> tuple[float, str, str]:
     """Similarity (common characters over the longer length), a marked, b marked."""
-    longest = max(len(a), len(b))
+    longest = max(units(a), units(b))
     if not longest:
         return 1.0, "", ""
     ta, tb = tokens(a), tokens(b)
     pairs = align([t for t, _, _ in ta], [t for t, _, _ in tb])
     ma, sa = _mark(a, ta, {i for i, _ in pairs})
     mb, sb = _mark(b, tb, {j for _, j in pairs})
-    return (sum(len(tb[j][0]) for _, j in pairs) + min(sa, sb)) / longest, ma, mb
+    return (sum(units(tb[j][0]) for _, j in pairs) + min(sa, sb)) / longest, ma, mb
 
 
 def could_reach(a: str, b: str, threshold: float) -> bool:
     """False only where the diff can't reach the threshold: common tokens are common in the bags of tokens, too."""
-    longest = max(len(a), len(b))
+    longest = max(units(a), units(b))
     ta, tb = Counter(TOKEN.findall(a)), Counter(TOKEN.findall(b))
-    common = sum(min(n, tb[t]) * len(t) for t, n in ta.items() if t in tb)
+    common = sum(min(n, tb[t]) * units(t) for t, n in ta.items() if t in tb)
     space = min(len(a) - sum(len(t) * n for t, n in ta.items()), len(b) - sum(len(t) * n for t, n in tb.items()))
     return common + space >= threshold * longest
 

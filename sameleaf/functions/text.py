@@ -70,7 +70,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def length_ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(F.length(a).cast("double"), F.length(b).cast("double"))
+    return F.try_divide(utf16_length(a).cast("double"), utf16_length(b).cast("double"))
 
 
 def in_range(ratio: Column, t: float) -> Column:

@@ -21,7 +21,8 @@ def with_vectors(df: DataFrame) -> DataFrame:
 
 
 def at_least(df: DataFrame, n: int) -> DataFrame:
-    return df.where(F.length("text") >= n)
+    """Sentences of n UTF-16 code units or more."""
+    return df.where(T.utf16_length(F.col("text")) >= n)
 
 
 def image_first(images: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import joins as J
+from ..operators.segment import at_least, line_sentences, with_vectors
 from ..settings import Settings
 from ..sources.store import Store
 from .progress import Handler, Progress, duration_text
@@ -38,7 +39,7 @@ class DocumentComparator:
     def compare_texts(self, pairs: DataFrame, sentences: DataFrame, tender: DataFrame | None = None) -> DataFrame:
         """Similar sentences of each pair. tender: sentences to leave out on both sides."""
         s = self.settings.text
-        some = sentences.where(F.length("text") >= s.min_length)
+        some = at_least(sentences, s.min_length)
         some = J.exclude(some, tender, s.threshold, drop_without_candidates=s.drop_without_candidates, drop_vectors=s.drop_vectors, on=["file_hash"])
         return J.text_join(*self._sides(some.select("file_hash", "page", "ord", "text", "vector"), pairs), s.threshold, ["pair_id"])
 
@@ -88,6 +89,4 @@ class DocumentComparator:
 
 def sentences_of(documents: DataFrame, key: str = "file_hash", text: str = "text") -> DataFrame:
     """Sentences with vectors of documents that are plain text."""
-    from ..operators.segment import line_sentences, with_vectors
-
     return with_vectors(line_sentences(documents, key, text))

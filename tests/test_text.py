@@ -54,6 +54,7 @@ def test_diff():
     assert diff("restaurant", "aura")[0] == 0
     assert diff("", "") == (1.0, "", "")
     assert diff("foo bar baz", "foo qux baz")[0] == 8 / 11
+    assert diff("😀甲", "😀乙")[0] == 2 / 3  # UTF-16 code units
     assert diff("foo baz", "foo bar baz")[0] == 7 / 11
 
 
