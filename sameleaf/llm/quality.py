@@ -176,11 +176,18 @@ class Model:
         self.table = cut(keep_columns(docs, "doc_id", "text").mapInArrow(look, f"doc_id {kind}, n long, votes string, at array<int>, value array<float>"))
         self.posterior = fit_labellers({r["votes"]: r["count"] for r in self.table.groupBy("votes").count().collect()})
         good = [x for x, p in self.posterior.items() if p > 0.5]
-        rows = []
-        for side in (F.col("votes").isin(good), ~F.col("votes").isin(good)):
-            some = self.table.where(side & (F.col("n") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(sample)
-            rows += [(np.array(r["at"]), np.array(r["value"], np.float32), self.posterior[r["votes"]]) for r in some.select("at", "value", "votes").collect()]
-        self.weights = fit_scorer(rows)
+        h = F.xxhash64("doc_id").alias("h")
+        sides = [self.table.where(side & (F.col("n") > 0)).select("at", "value", "votes", h).orderBy("h", "votes").limit(sample) for side in (F.col("votes").isin(good), ~F.col("votes").isin(good))]
+        posterior = self.posterior
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = sorted((h, v, a, x) for b in batches for h, v, a, x in zip(*(b.column(c).to_pylist() for c in ("h", "votes", "at", "value")), strict=True))
+            w = fit_scorer([(np.array(a), np.array(x, np.float32), posterior[v]) for _, v, a, x in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["weights"])
+
+        # At most 2 * sample rows come to this task; the driver gets the weights alone.
+        fitted = sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(fit, "weights array<double>").first()
+        self.weights = np.array(fitted["weights"]) if fitted else fit_scorer([])
 
     def scores(self) -> DataFrame:
         """doc_id, score, kept, weak (the posterior), votes of each row."""
