@@ -46,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """The same without Catalyst's estimates: of a join they are products, which loops square from turn to turn."""
+    done, spark = cut(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
+
+
 def keep_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: further columns can't clash with those that an operator adds."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_columns, table
+from .common import cut, cut_in_loop, keep_columns, table
 
 SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -299,20 +299,24 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int,
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, comp) after links (a, b) between ids: comp is the smallest comp that links reach."""
     one, two = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    edges = cut(links.join(one, "a").join(two, "b").where("ca != cb").select("ca", "cb").distinct())
+    edges = cut_in_loop(links.join(one, "a").join(two, "b").where("ca != cb").select("ca", "cb").distinct())
+    moved = None  # comps that have another name by now
     while not edges.isEmpty():
         ways = edges.unionByName(edges.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-        to = ways.groupBy(F.col("ca").alias("x")).agg(F.least(F.min("cb"), F.col("x")).alias("y"))
-        to = cut(to)
+        to = cut_in_loop(ways.groupBy(F.col("ca").alias("x")).agg(F.least(F.min("cb"), F.col("x")).alias("y")))
         for _ in range(2):  # to the place where the next ones point
             step = to.select(F.col("x").alias("y"), F.col("y").alias("z"))
             to = to.join(step, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-        to = cut(to)
-        labels = labels.join(to.select(F.col("x").alias("comp"), "y"), "comp", "left").select("id", F.coalesce("y", "comp").alias("comp"))
-        labels = cut(labels)
+        to = cut_in_loop(to)
+        if moved is not None:
+            known = moved.join(to.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+            to_new = to.join(moved.select("x"), "x", "left_anti")
+        moved = to if moved is None else cut_in_loop(known.unionByName(to_new))
         ends = [to.select(F.col("x").alias(c), F.col("y").alias(f"{c}_to")) for c in ("ca", "cb")]
-        edges = cut(edges.join(ends[0], "ca").join(ends[1], "cb").select(F.col("ca_to").alias("ca"), F.col("cb_to").alias("cb")).where("ca != cb").distinct())
-    return labels
+        edges = cut_in_loop(edges.join(ends[0], "ca").join(ends[1], "cb").select(F.col("ca_to").alias("ca"), F.col("cb_to").alias("cb")).where("ca != cb").distinct())
+    if moved is None:
+        return labels
+    return cut_in_loop(labels.join(moved.select(F.col("x").alias("comp"), "y"), "comp", "left").select("id", F.coalesce("y", "comp").alias("comp")))
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
