@@ -31,15 +31,25 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, one of this machine's own."""
+    """The folder of spark.checkpoint.dir. Unset, it is one of this machine's own, but only where all runs on this machine, as in tests."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if not at:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not (sc.master or "").startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+            at = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(at)
     return at
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Takes a written table away."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

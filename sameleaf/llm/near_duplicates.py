@@ -9,18 +9,20 @@ threshold of 0.8 share none with a probability of (1 - 0.8 ^ 4) ^ 32, or 5 in 10
 Equal sets are one class from then on. Only components are wanted, so no bucket is expanded into pairs:
 1. In each bucket, classes whose sketches don't rule the threshold out (DEVIATIONS standard deviations
    below it) are joined to groups: a bucket gives a tree, not its pairs, and trees are contracted. The
-   first bands go first; of the others only buckets that still hold several groups. A bucket of more
-   than BLOCK classes is dealt to blocks; then the members of its largest group stay in one block each,
-   and the others go to all.
-2. A link can only be inside a group. The texts of groups come together (once, or in large groups once
-   for each pair of BLOCK-sized blocks), full sets are made again and all their pairs counted exactly
-   inside the task, which hands on a tree of the links. Components are what these trees connect.
-So no cap ends the search, and what is shuffled is linear in the input but for the blocks of groups
-of thousands of different texts that are nearly linked.
+   first bands go first; of the others only buckets that still hold several groups.
+2. A link can only be inside a group. The texts of a group come together, full sets are made again and
+   their pairs counted exactly inside the task, which hands on a tree of the links. Components are what
+   these trees connect.
+Buckets and groups of more than BLOCK classes are dealt to blocks. First each block is looked at alone.
+Then, in groups, one class of each component that is left stands for it in blocks of such classes, for
+TURNS turns. What is still apart is settled exactly: the members of the largest component stay in
+their block, and the others visit all blocks, a batch at a time. So no cap ends the search, a task
+holds two blocks at most, and a family of copies that do link costs its own size, not its square.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with
-nothing; fewer words than a shingle form one shingle. Rows that share a doc_id are one node. A null
-doc_id is linked with nothing: its component_id is null and it is kept. Empty input gives empty output.
+nothing; fewer words than a shingle form one shingle. Rows that share a doc_id are one node: their sets
+are compared each for itself, and linked with one another. A null doc_id is linked with nothing: its
+component_id is null and it is kept. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, cut_in_loop, keep_columns, table
 
-SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23
+SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP, TURNS = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23, 2
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2 * SKETCH, dtype=np.uint64)
 
@@ -147,65 +149,101 @@ def _ends(group: np.ndarray) -> np.ndarray:
     return change[np.searchsorted(change, np.arange(len(group)), "right")] if len(group) else change
 
 
-def candidates(group: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, threshold: float) -> np.ndarray:
-    """Trees (id, id) over the rows of each group whose sketches don't rule a link out. Rows of one comp are connected already."""
+def _tree(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Pairs (id, id) that connect what the index pairs left - right connect."""
+    if not left:
+        return np.zeros((0, 2), np.int64)
+    root = roots(len(ids), np.concatenate(left), np.concatenate(right))
+    at = np.flatnonzero(root != np.arange(len(ids)))
+    pair = np.stack([ids[at], ids[root[at]]], 1)
+    return np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+
+
+def candidates(group: np.ndarray, visits: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sk: np.ndarray, threshold: float) -> np.ndarray:
+    """Trees (id, id) over the rows of each group whose sketches don't rule a link out.
+
+    Rows of one comp are connected already, and visitors aren't compared with one another."""
     least = (threshold - DEVIATIONS * (threshold * (1 - threshold) / SKETCH) ** 0.5) * SKETCH
     left, right = [], []
     for i, j in _pairs(_ends(group)):
-        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
+        ok = (comp[i] != comp[j]) & ~(visits[i] & visits[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-6)
         i, j = i[ok], j[ok]
         ok = (sk[i] == sk[j]).sum(1) >= least
         left.append(i[ok])
         right.append(j[ok])
-    if not left:
-        return np.zeros((0, 2), np.int64)
-    root = roots(len(ids), np.concatenate(left), np.concatenate(right))
-    at = np.flatnonzero(root != np.arange(len(ids)))
-    pair = np.stack([ids[at], ids[root[at]]], 1)
-    return np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+    return _tree(ids, left, right)
 
 
-def _connect(members: DataFrame, threshold: float) -> DataFrame:
-    """Candidate trees a, b from members (bucket, block, id, comp, n, sketch); a task holds one block of a bucket and one batch."""
-    names = ["bucket", "block", "id", "comp", "n"]
+def _parts(now: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Where equal rows of `now` begin and end, and no part longer than size."""
+    cuts = [0, *(np.flatnonzero((now[1:] != now[:-1]).any(1)) + 1).tolist(), len(now)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for k in range(a, b, size):
+            yield k, min(b, k + size)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
 
-        def out(rows: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.append(0, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, int)
-            p = candidates(group, rows[:, 2], rows[:, 3], rows[:, 4], sk, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+def _connect(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Candidate trees a, b from members (bucket, block, visits, id, comp, n, sketch).
+
+    A task holds the residents of one block and one batch of its visitors, which come after them."""
+    names = ["bucket", "block", "visits", "id", "comp", "n"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sk = np.zeros((0, 6), np.int64), np.zeros((0, SKETCH), np.uint8)  # what waits: whole groups, and residents of the last
+
+        def out(done: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rows, sk
+            change = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)) if len(rows) else np.zeros(0, bool)
+            last = len(rows) if done or not len(rows) else int(np.flatnonzero(change)[-1])
+            open_visits = np.flatnonzero(rows[last:, 2]) + last  # visitors of the open group are compared now, and go
+            upto = len(rows) if len(open_visits) >= block or done else last
+            if upto:
+                group = np.cumsum(change[:upto])
+                p = candidates(group, rows[:upto, 2] > 0, rows[:upto, 3], rows[:upto, 4], rows[:upto, 5], sk[:upto], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
+            keep = np.arange(len(rows)) >= last
+            if upto > last:
+                keep &= rows[:, 2] == 0
+            rows, sk = rows[keep], sk[keep]
 
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
-            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            if kept is not None:
-                rows, sk = np.concatenate([kept[0], rows]), np.concatenate([kept[1], sk])
-            if not len(rows):
-                continue
-            last = int(np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))[-1])
-            kept = rows[last:], sk[last:]
-            if last:
-                yield out(rows[:last], sk[:last])
-        if kept is not None:
-            yield out(*kept)
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
+            some = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for a, b in _parts(new[:, :3], 4 * block):
+                rows, sk = np.concatenate([rows, new[a:b]]), np.concatenate([sk, some[a:b]])
+                if len(rows) >= 4 * block:
+                    yield from out(False)
+        yield from out(True)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(find, "a long, b long").distinct()
+    return members.select(*names, "sketch").repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "visits").mapInArrow(find, "a long, b long").distinct()
+
+
+def _visiting(members: DataFrame, key: str, size: Column, block: int, comps: bool) -> DataFrame:
+    """members (key, id, comp, ...) with block and visits: each stays in a block of about `block` members.
+
+    comps: all but the members of the key's largest comp visit the other blocks, too."""
+    blocks = F.greatest(F.ceil(size / block).cast("int"), F.lit(1))
+    members = members.withColumn("__own", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int"))
+    if not comps:
+        return members.withColumns({"block": F.col("__own"), "visits": F.lit(0)}).drop("__own")
+    most = members.where(size > block).groupBy(key, "comp").count().groupBy(key).agg(F.max_by("comp", F.struct("count", "comp")).alias("__most"))
+    to = F.when((size <= block) | (F.col("comp") == F.col("__most")), F.array("__own")).otherwise(F.sequence(F.lit(0), blocks - 1))
+    out = members.join(most, key, "left").withColumn("block", F.explode(to))
+    return out.withColumn("visits", (F.col("block") != F.col("__own")).cast("int")).drop("__own", "__most")
 
 
 # ---- exact verification
 
 
-def linked(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets with den * intersection >= num * union; of two different blocks, where there are two, only those across."""
+def linked(sets: list[np.ndarray], visits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with den * intersection >= num * union; visitors aren't compared with one another."""
     m, size = len(sets), np.array([len(x) for x in sets], np.int64)
     if m <= 6:
         common = np.zeros((m, m))
         for i in range(m):
             for j in range(i):
-                if min(size[i], size[j]) * den >= num * max(size[i], size[j]):
+                if not (visits[i] and visits[j]) and min(size[i], size[j]) * den >= num * max(size[i], size[j]):
                     common[i, j] = common[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     else:
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -213,26 +251,25 @@ def linked(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> tup
         order = np.argsort(column, kind="stable")
         order = order[times[column[order]] > 1]  # what one set alone has is in no intersection
         row, column = row[order], column[order]
+        home = np.flatnonzero(~visits)
         common, step = np.zeros((m, m), np.float32), 4096
         while len(row):
             own = np.unique(column[: 64 * step])[:step]
             stop = int(np.searchsorted(column, own[-1], "right"))
             dense = np.zeros((m, len(own)), np.float32)
             dense[row[:stop], np.searchsorted(own, column[:stop])] = 1
-            common += dense @ dense.T
+            common[home] += dense[home] @ dense.T
             row, column = row[stop:], column[stop:]
+        common = np.maximum(common, common.T)
     i, j = np.nonzero(np.triu(common, 1))
-    if len(np.unique(block)) == 2:
-        across = block[i] != block[j]
-        i, j = i[across], j[across]
     c = common[i, j].astype(np.int64)
     ok = den * c >= num * (size[i] + size[j] - c)
     return i[ok], j[ok]
 
 
 def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id may be in wanted (id): a bitmap of BITMAP bits, at any input size, tells most others."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    """Rows of docs whose doc_id may be in wanted (least): a bitmap of BITMAP bits, at any input size, tells most others."""
+    bit = F.pmod(F.xxhash64("least"), F.lit(BITMAP))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS INT)))").alias("m"))
     bitmap = np.zeros(BITMAP // 64, np.int64)
     for w, m in words.collect():
@@ -249,23 +286,23 @@ def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(some, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def verified(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
-    """Trees (a, b) of exact links inside groups (id, f1, f2, grp, m)."""
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), parts).cast("int")
-    texts = _some_of(docs, groups).join(groups, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2", "grp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    texts = texts.select("id", "text", "f1", "f2", "grp", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+def verified(docs: DataFrame, members: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """Trees (a, b) of exact links among members (id, least, f1, f2, grp, block, visits) of a group's block.
+
+    least is a document of the class: its text with the set f1, f2 is taken. A task holds the residents
+    of one block and one batch of visitors, which come after them."""
+    texts = _some_of(docs, members).join(members, F.col("doc_id") == F.col("least")).select("id", "text", "f1", "f2", "grp", "block", "visits")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blocks, sets = None, [], [], []
+        now, ids, visits, sets, home = None, [], [], [], 0
         out: list[np.ndarray] = []
 
         def close() -> None:
-            if len(ids) > 1:
-                i, j = linked(sets, np.array(blocks), num, den)
-                root, own_ids = roots(len(ids), i, j), np.array(ids, np.int64)
-                at = np.flatnonzero(root != np.arange(len(ids)))
-                out.append(np.stack([own_ids[at], own_ids[root[at]]], 1))
+            nonlocal ids, visits, sets
+            if len(ids) > max(1, home if any(visits) else 1):
+                i, j = linked(sets, np.array(visits, bool), num, den)
+                out.append(_tree(np.array(ids, np.int64), [i], [j]))
+            ids, visits, sets = ids[:home], visits[:home], sets[:home]
 
         def made() -> pa.RecordBatch:
             p = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -273,24 +310,27 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int,
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
 
         for batch in batches:
-            for grp, low, high, i, own_block, text, f1, f2 in zip(*(batch.column(c).to_pylist() for c in ("grp", "low", "high", "id", "own", "text", "f1", "f2")), strict=True):
-                if (grp, low, high) != now:
+            for grp, at, visit, i, text, f1, f2 in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "visits", "id", "text", "f1", "f2")), strict=True):
+                if (grp, at) != now:
+                    close()
+                    now, ids, visits, sets, home = (grp, at), [], [], [], 0
+                if len(ids) - home >= block and visit:
                     close()
-                    now, ids, blocks, sets = (grp, low, high), [], [], []
                 if ids and ids[-1] == i:
                     continue
                 s = shingles(text, width)
                 if _fingerprint(s) == (f1, f2):
                     ids.append(i)
-                    blocks.append(own_block)
+                    visits.append(visit)
                     sets.append(s)
+                    home += not visit
             if out:
                 yield made()
         close()
         yield made()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(n, "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "id").mapInArrow(check, "a long, b long").distinct()
+    return texts.repartition(n, "grp", "block").sortWithinPartitions("grp", "block", "visits", "id").mapInArrow(check, "a long, b long").distinct()
 
 
 # ---- components
@@ -319,14 +359,46 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_in_loop(labels.join(moved.select(F.col("x").alias("comp"), "y"), "comp", "left").select("id", F.coalesce("y", "comp").alias("comp")))
 
 
+def _one_node(some: DataFrame, first: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that share a doc_id; None where none does."""
+    key = F.struct("f1", "f2")
+    twice = cut(some.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low != high").select("doc_id"))
+    if twice.isEmpty():
+        return None
+    own = cut(some.join(twice, "doc_id", "left_semi").select("doc_id", "f1", "f2").distinct().join(first.select("f1", "f2", "id"), ["f1", "f2"]).select("doc_id", "id"))
+    return cut(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a != b"))
+
+
+def _links(docs: DataFrame, groups: DataFrame, alone: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """labels (id, comp) by the exact links inside groups (id, least, f1, f2, grp, m)."""
+    check = lambda members: cut(verified(docs, members, width, num, den, block))
+    labels = contract(alone, check(_visiting(groups, "grp", F.col("m"), block, False)))
+    large = groups.where(F.col("m") > block)
+    if large.isEmpty():
+        return labels
+    for turn in range(TURNS + 1):
+        now = large.drop("m").join(labels, "id")
+        apart = now.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low != high").select("grp", "m")
+        now = cut(now.join(apart, "grp"))
+        if now.isEmpty():
+            break
+        if turn < TURNS:
+            columns = F.struct("id", "least", "f1", "f2")
+            now = now.groupBy("grp", "comp").agg(F.min_by(columns, F.xxhash64("id", F.lit(turn))).alias("c")).select("grp", "comp", "c.*")
+            now = now.join(now.groupBy("grp").agg(F.count("*").alias("m")), "grp")
+        labels = contract(labels, check(_visiting(now, "grp", F.col("m"), block, turn == TURNS)))
+    return labels
+
+
 def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     made = cut(sketches(docs, width))
     some = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    first = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")))
+    # A class is a set; its id is a number of its own, fixed by writing the table.
+    first = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
     classes = cut(
-        some.join(first, (F.col("doc_id") == F.col("id")) & (some.f1 == first.f1) & (some.f2 == first.f2))
-        .select("id", some.f1, some.f2, F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id"])
+        some.join(first, (F.col("doc_id") == F.col("least")) & (some.f1 == first.f1) & (some.f2 == first.f2))
+        .select("id", "least", some.f1, some.f2, F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["id"])
     )
     rows = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -335,30 +407,35 @@ def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int
     labels, threshold = alone, num / den
     for turn in range(2):
         now = (members if turn else members.where(F.col("band") < FIRST)).join(labels, "id")
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
         if turn:
             mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
             now = now.join(mixed, "bucket")
-            most = now.where(F.col("size") > block).groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
-            now = now.join(most, "bucket", "left")
-            to = F.when((F.col("size") <= block) | (F.col("comp") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))
-            now = now.select("bucket", F.explode(to).alias("block"), "id", "comp")
-        else:
-            now = now.select("bucket", own.alias("block"), "id", "comp")
-        labels = contract(labels, cut(_connect(now.join(classes.select("id", "n", "sketch"), "id"), threshold)))
+        now = _visiting(now.select("bucket", "size", "id", "comp"), "bucket", F.col("size"), block, bool(turn))
+        labels = contract(labels, cut(_connect(now.join(classes.select("id", "n", "sketch"), "id"), threshold, block)))
     sizes = cut(labels.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("m")).where("m > 1"))
-    groups = cut(labels.withColumnRenamed("comp", "grp").join(sizes, "grp").join(classes.select("id", "f1", "f2"), "id"))
-    labels = contract(alone, cut(verified(docs, groups, width, num, den, block)))
-    named = cut(first.join(labels, "id").select("f1", "f2", "comp"))
+    groups = cut(labels.withColumnRenamed("comp", "grp").join(sizes, "grp").join(classes.select("id", "least", "f1", "f2"), "id"))
+    labels = _links(docs, groups, alone, width, num, den, block)
+    same = _one_node(some, first)
+    labels = labels if same is None else contract(labels, same)
+    held = first.join(labels, "id").select("f1", "f2", "least", "comp")
+    named = cut(held.join(held.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("f1", "f2", "name"))
     out = made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("comp", "doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("name", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without all but one of each component; of rows that share a doc_id one stays."""
+    """The rows of docs without all but one of each component.
+
+    Of rows that share a doc_id the one stays whose text has the smallest hash; without a doc_id all stay."""
     gone = link_components(docs, width).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    kept = docs.join(gone, "doc_id", "left_anti").select(*names)
+    twice = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    own = kept.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.struct(*names).alias("__r"))
+    own = own.groupBy("__id").agg(F.min_by("__r", F.xxhash64("__r.text")).alias("__r")).select("__r.*")
+    return kept.join(twice, "doc_id", "left_anti").select(*names).unionByName(own)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,37 @@ def test_near_duplicates(spark, block):
     assert [got[k] for k in range(len(texts))] == [(n, c, c == k) for k, (n, c) in enumerate(components_by_hand(texts, 4))]
 
 
+def test_rows_of_one_doc_id_are_one_node(spark):
+    made = spark.createDataFrame([(5, "a"), (5, "b"), (7, "a x"), (8, "b y"), (9, "a"), (5, "a"), (8, "B  y")], "doc_id long, text string")
+    long = {"a": " ".join("abcdefghij"), "b": " ".join("klmnopqrst"), "a x": " ".join("abcdefghij") + " x", "b y": " ".join("klmnopqrst") + " y", "B  y": " ".join("KLMNOPQRST") + "  y"}
+    rows = made.replace(long, subset="text")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.link_components(rows, 4).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 5)}
+    kept = near_duplicates.keep_one_of_each(rows.withColumn("n", F.lit(1)), 4)
+    assert kept.columns == ["doc_id", "text", "n"] and [r.doc_id for r in kept.collect()] == [5]
+    r = random.Random(21)
+    texts = near_texts()
+    ids = [r.randrange(40) for _ in texts]
+    parts = components_by_hand(texts, 4)
+    comp = {i: i for i in ids}
+    for (n, c), i in zip(parts, ids, strict=True):
+        if n:
+            low, high = sorted((comp[i], comp[ids[c]]))
+            comp = {k: low if v == high else v for k, v in comp.items()}
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in near_duplicates.link_components(rows, 4, block=8).where("n_shingles > 0").collect()}
+    assert got == {(i, comp[i]) for (n, _), i in zip(parts, ids, strict=True) if n}
+
+
+def test_visitors_meet_residents_only():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(40)]
+    visits = r.random(40) < 0.5
+    i, j = near_duplicates.linked(sets, visits, 50, 100)
+    wanted = {(a, b) for a in range(40) for b in range(a + 1, 40) if not (visits[a] and visits[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))}
+    assert wanted and set(zip(i.tolist(), j.tolist(), strict=True)) == wanted
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.link_components(empty(spark)).count() == 0
     rows = near_duplicates.link_components(docs(spark, ["a b c d e f"], (None, "a b c d e f", None, None, None), (0, "a b c d e f", None, None, None)), 4).collect()
