@@ -2,7 +2,8 @@
 
 Documents stay in the order of their rows. Sequences are runs of the token stream; a run may end at a
 document's end (no penalty), at a sentence's end, or at every GRID tokens (the largest penalty). The
-cost of a run is its padding plus the penalty of its end; a run of a power of two isn't padded. With
+cost of a run is its padding plus the penalty of its end; a run of a power of two (all of 1 to 1024)
+isn't padded. With
 f(j) = penalty(j) + LENGTH - p(j) + min over i in the window of (f(i) + p(i)), the minimum comes from
 a monotone queue, so a cut costs constant time.
 
@@ -20,7 +21,7 @@ is never cut short. Empty input gives no pieces.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import keep_columns, single_threaded, table
 
 LENGTH, GRID, SENTENCE, HARD, END, CHUNK, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 1_200_000
-POWERS = (1024,)
+POWERS = tuple(1 << k for k in range(11))
 BETWEEN = "<|endoftext|>"
 STOPS = (".", "!", "?", "。", "！", "？")
 
@@ -41,9 +42,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _plain(x: str) -> tuple[str, str]:
-    """A word without its last comma or full stop, and that: they are always tokens apart. ASCII capitals make no difference."""
-    base, tail = (x[:-1], x[-1]) if x[-1:] in (",", ".") and x[:-1].isalpha() else (x, "")
+def _plain(x: str, apart: Callable[[str], bool]) -> tuple[str, str]:
+    """A word without its last comma or full stop, and that, where they are tokens apart. ASCII capitals make no difference.
+
+    They are apart after an ASCII letter. After another letter it depends on how the tokenizer takes it
+    to pieces (some become a letter and a mark, and a mark goes with the stop): apart tells.
+    """
+    base, tail = (x[:-1], x[-1]) if x[-1:] in (",", ".") and x[:-1].isalpha() and (x[-2].isascii() or apart(x[-2])) else (x, "")
     return (base.lower() if base.isascii() and base.isalpha() and base.lower() != x else base), tail
 
 
@@ -59,23 +64,44 @@ class Words:
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.stops = np.array(sorted({vocabulary[x] for s in STOPS for x in (s, s + "</w>", s * 3 + "</w>") if x in vocabulary}), np.uint32)
 
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.tails = {x: self._ids(x) for x in ("", ",", ".")}
+        self.letters: dict[str, bool] = {}
+
+    def apart(self, letter: str) -> bool:
+        """Whether a stop after this letter is a token apart."""
+        if letter not in self.letters:
+            own = self._ids(letter)
+            self.letters[letter] = all(self._ids(letter + t) == own + self.tails[t] for t in (",", "."))
+        return self.letters[letter]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """Many words are encoded at once, with a special token between them."""
+        """Many words are encoded at once. One of ASCII letters is one run of the tokenizer's, and its last
+        token says that the word ends; between others stands a special token."""
+        whole, odd = [], []
         for x in new:
-            if "<|" in x:
+            if x.isascii() and x.isalpha():
+                whole.append(x)
+            elif "<|" in x:
                 self.known[x] = self._ids(x)
-        new = [x for x in new if "<|" not in x]
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.between)
-            for x, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                self.known[x] = ids[a:b].tobytes()
+            else:
+                odd.append(x)
+        for words, between in ((whole, " "), (odd, BETWEEN)):
+            for k in range(0, len(words), 5000):
+                part = words[k : k + 5000]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                if between == " ":
+                    ends = np.flatnonzero(self.closing[ids]) + 1
+                    starts = np.append(0, ends[:-1])
+                else:
+                    gaps = np.flatnonzero(ids == self.between)
+                    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(ids))
+                for x, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
+                    self.known[x] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
@@ -83,7 +109,7 @@ class Words:
             self.known.clear()
         known = self.known
         new = set().union(*split).difference(known) if split else ()
-        plain = {x: _plain(x) for x in new}
+        plain = {x: _plain(x, self.apart) for x in new}
         self._learn([x for x in {base for base, _ in plain.values()} if x not in known])
         for x, (base, tail) in plain.items():
             if x is not base:
@@ -103,23 +129,28 @@ def shared_words(path: str) -> Words:
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The cheapest ends of runs, among the rising positions `at` (0 first; the last is always an end)."""
-    near: dict[int, list[int]] = {}
+    place = np.full(int(at[-1]) + 1, -1, np.int64)  # of each position among the ends
+    place[at] = np.arange(len(at))
+    to, start = [], []
     for s in POWERS:
         if s < length:
-            i = np.searchsorted(at, at - s)
-            for j in np.flatnonzero((at >= s) & (at[np.minimum(i, len(at) - 1)] == at - s)):
-                near.setdefault(int(j), []).append(int(i[j]))
+            j = np.flatnonzero(at >= s)
+            i = place[at[j] - s]
+            to.append(j[i >= 0])
+            start.append(i[i >= 0])
+    to, start = np.concatenate([[], *to]).astype(np.int64), np.concatenate([[], *start]).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    start, first = start[order].tolist(), np.searchsorted(to[order], np.arange(len(at) + 1)).tolist()
     p, pen, n = at.tolist(), penalty.tolist(), len(at)
     f, g, back = [0.0] * n, [0.0] * n, [0] * n
     queue, head = [0], 0
-    none: list[int] = []
     for j in range(1, n):
         x = p[j]
         while p[queue[head]] < x - length:
             head += 1
         i = queue[head]
         best = g[i] + length - x
-        for k in near.get(j, none):
+        for k in start[first[j] : first[j + 1]]:
             if f[k] < best:
                 best, i = f[k], k
         f[j], back[j] = best + pen[j], i
