@@ -1,12 +1,13 @@
 """Op 10: minimax contiguous partition of documents into shards, with DataFrame functions only.
 
-Documents with equal texts form a group. Groups are ordered by the hash of their text and gathered
-in UNITS ranges of that order; a unit is what isn't cut. A group of more than 1 / PART of all bytes
-is dealt by doc_id to parts of about that size, each part a unit of its own, so that no group fills
-a shard. The driver sees the sizes of the units only, at most UNITS + 2 * PART rows at any input
-size. It looks for the smallest capacity with which a greedy pass over the ordered units needs at
-most the wanted number of shards, and cuts there. Slots come from the units' offsets and a rank
-inside the unit, so no window spans a shard.
+Documents with equal texts form a group, and a group stays whole unless it is larger than a shard's
+equal share of all bytes; only then is it cut. Groups are ordered by the hash of their text and gathered
+in UNITS ranges of that order. A group of more than 1 / PART of all bytes or rows is an item of its own,
+and its rows are dealt to parts of about that size: a whole group's parts are placed together, and those
+of a group that has to be cut one by one. So no task ranks a large group. The driver sees the sizes of
+units and parts only, at most UNITS + 4 * PART + 1 rows at any input size. It looks for the smallest
+capacity with which a greedy pass over the ordered sizes needs at most the wanted number of shards, and
+cuts there. Slots come from the offsets of units and parts and a rank inside them.
 
 Defined results: a null text has size 16 and the CRC of no bytes, and forms a group with the other
 nulls; an empty text likewise forms its own group. A null doc_id sorts first. Repeated rows each get
@@ -85,35 +86,44 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, units: int = UNITS, p
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text, null).alias("h1"),
             F.xxhash64(F.lit("second"), text, null).alias("h2"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by writing the table
         )
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    share = F.greatest(F.col("bytes") * part / F.lit(float(total or 1)), F.col("n") * part / F.lit(float(n or 1)))
     hot = (
-        rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * part > total)
-        .select("h1", "h2", F.ceil(F.col("bytes") * part / F.lit(float(total or 1))).cast("long").alias("parts"))
+        rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(share > 1)
+        .select("h1", "h2", F.ceil(share).cast("long").alias("parts"), (F.col("bytes") * shards > total).alias("cut"))
     )
-    # At most `part` groups can each hold more than 1 / part of the bytes: a proven bound.
+    # At most 2 * `part` groups can each hold more than 1 / part of the bytes or of the rows: a proven bound.
     rows = rows.join(F.broadcast(hot), ["h1", "h2"], "left").select(
-        "doc_id", "size", "text_crc32",
+        "doc_id", "size", "text_crc32", "cut",
         F.shiftrightunsigned("h1", 64 - (units.bit_length() - 1)).alias("unit"),
         F.when(F.col("parts").isNotNull(), F.col("h1")).alias("group"),
-        F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).alias("part"),
+        F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), "parts")).alias("part"),
     )
     key = ["unit", "group", "part"]
     sums = sorted(
-        rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect(),
+        rows.groupBy(*key, "cut").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect(),
         key=lambda r: (r["unit"], r["group"] is not None, r["group"] or 0, r["part"] or 0),
     )
+    items: list[list] = []  # what is placed together
+    for r in sums:
+        if items and r["cut"] is False and items[-1][0]["group"] == r["group"] and items[-1][0]["unit"] == r["unit"]:
+            items[-1].append(r)
+        else:
+            items.append([r])
     placed, filled = [], [0] * shards
-    for r, s in zip(sums, cut_greedily([r["bytes"] for r in sums], shards), strict=True):
-        placed.append((r["unit"], r["group"] or 0, -1 if r["part"] is None else r["part"], s, filled[s]))
-        filled[s] += r["n"]
+    for item, s in zip(items, cut_greedily([sum(r["bytes"] for r in item) for item in items], shards), strict=True):
+        for r in item:
+            placed.append((r["unit"], r["group"] or 0, -1 if r["part"] is None else r["part"], s, filled[s]))
+            filled[s] += r["n"]
     kind = T.StructType([T.StructField(n, T.LongType(), False) for n in ("unit", "group", "part", "shard", "before")])
     at = spark.createDataFrame(placed, kind)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size"))
     return (
         rows.withColumns({"group": F.coalesce("group", F.lit(0)), "part": F.coalesce("part", F.lit(-1))})
-        .join(F.broadcast(at), key)  # at most units + 2 * part rows
+        .join(F.broadcast(at), key)  # at most units + 4 * part + 1 rows
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
             (F.col("before") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
