@@ -6,6 +6,8 @@
    it builds a minimal perfect hash (levels of bit arrays; a key rests at the first level where
    nothing else falls on its bit) and lays out a fingerprint array (the whole second hash, so a key
    that isn't in the set passes with probability 2^-64) and a count array in the order of the slots.
+   Keys below the limit aren't indexed, as no count of theirs could drop a line. Keys whose first hash
+   another key has, too, stand apart in a list.
 3. Documents probe. Arrays up to BROADCAST_BYTES in all are broadcast, and each document is done in
    place. Beyond that, hashes go to the shards instead (see _probe_by_shard): the keys of more than
    1 / HOT_PART of all probes, of which there can be at most HOT_PART, are broadcast and probed in
@@ -14,7 +16,7 @@
 
 Defined results: null and empty text are one empty line, of 0 code points, and are never dropped;
 lines that are empty after stripping stay. A document that repeats a line counts once. Repeated rows
-(same doc_id) count as separate documents. Empty input gives empty output.
+(same doc_id) count as separate documents, in the SQL, too. Empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -100,25 +102,28 @@ class PerfectHash:
         return out
 
 
-SHARD_SCHEMA = "shard long, bits array<long>, levels array<binary>, fingerprints binary, counts binary, bytes long"
+SHARD_SCHEMA = "shard long, bits array<long>, levels array<binary>, fingerprints binary, counts binary, more binary, bytes long"
+PARTS = ("bits", "levels", "fingerprints", "counts", "more")
 
 
 def pack_shard(shard: int, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> dict:
-    order = np.unique(h1, return_index=True)[1]
-    if len(order) != len(h1):
-        raise ValueError("two keys share the first 64 bits of their hashes; use another shard size")
+    first = np.unique(h1, return_index=True)[1]
+    more = np.setdiff1d(np.arange(len(h1)), first)  # keys whose first hash another key has, too: a few in 10^10
+    more = np.stack([h1[more], h2[more], n[more].astype(np.int64)], 1)
+    h1, h2, n = h1[first], h2[first], n[first]
     levels = PerfectHash.build(h1)
     slot = PerfectHash(levels).slots(h1)
     prints, counts = np.empty(len(h1), np.int64), np.empty(len(h1), np.uint32)
     prints[slot], counts[slot] = h2, np.minimum(n, 0xFFFFFFFF)
-    out = {"shard": shard, "bits": [b for b, _ in levels], "levels": [x.tobytes() for _, x in levels], "fingerprints": prints.tobytes(), "counts": counts.tobytes()}
-    return out | {"bytes": 12 * len(h1) + sum(map(len, out["levels"]))}
+    out = {"shard": shard, "bits": [b for b, _ in levels], "levels": [x.tobytes() for _, x in levels], "fingerprints": prints.tobytes(), "counts": counts.tobytes(), "more": more.tobytes()}
+    return out | {"bytes": 12 * len(h1) + 24 * len(more) + sum(map(len, out["levels"]))}
 
 
 class Shard:
     def __init__(self, row):
         self.hash = PerfectHash([(b, np.frombuffer(x, np.uint64)) for b, x in zip(row["bits"], row["levels"], strict=True)])
         self.prints, self.counts = np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], np.uint32)
+        self.more = np.frombuffer(row["more"], np.int64).reshape(-1, 3)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """The number of documents for each (first, second) hash; 0 where it isn't in the set."""
@@ -127,6 +132,8 @@ class Shard:
         known = np.flatnonzero(slot >= 0)
         known = known[self.prints[slot[known]] == h[known, 1]]
         out[known] = self.counts[slot[known]]
+        for first, second, n in self.more.tolist():
+            out[(h[:, 0] == first) & (h[:, 1] == second)] = n
         return out
 
 
@@ -253,8 +260,8 @@ def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, ca
             yield pa.RecordBatch.from_arrays([pa.array(to), *(pa.array(h[:, k]) for k in range(3))], ["shard", "row", "h1", "h2"])
 
     sent = keep_columns(docs, "__row", "text").mapInArrow(probes, "shard long, row long, h1 long, h2 long")
-    wide = arrays.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "bits", "levels", "fingerprints", "counts")
-    narrow = sent.select("shard", F.lit(1).alias("kind"), "row", "h1", "h2", *[F.lit(None).cast(arrays.schema[c].dataType).alias(c) for c in ("bits", "levels", "fingerprints", "counts")])
+    wide = arrays.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *PARTS)
+    narrow = sent.select("shard", F.lit(1).alias("kind"), "row", "h1", "h2", *[F.lit(None).cast(arrays.schema[c].dataType).alias(c) for c in PARTS])
 
     def answer(batches):
         shard = key = None
@@ -268,7 +275,7 @@ def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, ca
                     mine = mine[shard.count(np.ascontiguousarray(mine[:, 1:])) >= min_docs]
                     yield pa.RecordBatch.from_arrays([pa.array(mine[:, c]) for c in range(3)], ["row", "h1", "h2"])
                 if k < len(kinds):
-                    row = {c: batch.column(c)[k].as_py() for c in ("bits", "levels", "fingerprints", "counts")}
+                    row = {c: batch.column(c)[k].as_py() for c in PARTS}
                     shard, key, start = Shard(row), at[k], k + 1
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -291,16 +298,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, u.line, u.ord,
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, text FROM documents
+), lines AS (
+  SELECT row, doc_id, u.line, u.ord,
     translate(regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, ord)
+  FROM d, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS u(line, ord)
 ), shared AS (
-  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10
 ), marked AS (
   SELECT l.*, s.key IS NOT NULL AS dropped FROM lines l LEFT JOIN shared s ON l.key = s.key
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row
 """

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -67,6 +68,16 @@ def test_perfect_hash():
     assert sorted(made.slots(keys)) == list(range(len(keys)))
 
 
+def test_keys_that_share_their_first_hash():
+    r = np.random.default_rng(2)
+    h = r.integers(-(1 << 63), (1 << 63) - 1, (500, 2), dtype=np.int64)
+    h[10:13, 0] = h[9, 0]
+    n = np.arange(500) + 10
+    shard = line_dedup.Shard(line_dedup.pack_shard(0, h[:, 0], h[:, 1], n))
+    assert shard.count(h).tolist() == n.tolist()
+    assert not shard.count(np.stack([h[:, 0], h[:, 1] + 1], 1)).any()
+
+
 # ---- 2
 
 
@@ -397,19 +408,45 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
-def test_cuts_are_the_cheapest():
+def test_words_are_encoded_as_the_tokenizer_does():
+    import sys
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    words = packing.Words(packing.default_tokenizer())
+    whole = lambda x: words.tokenizer.encode(x, add_special_tokens=False).ids
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    letters = [c for k, c in enumerate(letters) if k % 20 == 0 or unicodedata.normalize("NFC", c).lower() != c]  # all that the tokenizer changes
+    for k in range(0, len(letters), 12_000):
+        text = " ".join(f"{c}{t} x{c}{t}" for c in letters[k : k + 4000] for t in ",.")
+        assert words.encode([text])[0].tolist() == whole(text)
+    text = "D\u0130YARBAKIRI\u0307, D\u0130YARBAKIR\u0130, \u0915\u093c. \u0958. \ufb2a, x\u0338. >\u0338y"
+    assert words.encode([text])[0].tolist() == whole(text)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.sampled_from("aB, .\n\t'\u0130\u0307\u0301\u0338é1<|>"), st.characters(codec="utf-8"))))
+    def check(x):
+        assert words.encode([x])[0].tolist() == whole(x)
+
+    check()
+
+
+@pytest.mark.parametrize("length", [16, 24, 2048])
+def test_cuts_are_the_cheapest(length):
+    """With runs that aren't padded, as 1, 2, 4, ... below the length are powers of two."""
     r = np.random.default_rng(3)
     for _ in range(40):
-        at = np.unique(np.append([0], r.integers(1, 60, 25)))
+        at = np.unique(np.append([0], r.integers(1, 4 * length, 30 if length < 100 else 300)))
         pen = r.integers(0, 6, len(at)).astype(float)
-        at, pen = at[:1].tolist() + at[1:].tolist(), pen
-        if max(np.diff(at)) > 16:
+        if max(np.diff(at)) > length:
             continue
+        padding = lambda n: 0 if n & (n - 1) == 0 else length - n
         cost = [0.0] + [math.inf] * (len(at) - 1)
         for j in range(1, len(at)):
-            cost[j] = pen[j] + min(cost[i] + 16 - (at[j] - at[i]) for i in range(j) if at[j] - at[i] <= 16)
-        ends = [0, *packing.best_cuts(np.array(at), pen, 16).tolist()]
-        assert math.isclose(sum(16 - (b - a) + pen[at.index(b)] for a, b in zip(ends, ends[1:], strict=False)), cost[-1])
+            cost[j] = pen[j] + min(cost[i] + padding(int(at[j] - at[i])) for i in range(j) if at[j] - at[i] <= length)
+        ends = [0, *packing.best_cuts(at, pen, length).tolist()]
+        assert math.isclose(sum(padding(b - a) + pen[at.tolist().index(b)] for a, b in zip(ends, ends[1:], strict=False)), cost[-1])
 
 
 # ---- 10
@@ -432,6 +469,32 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, ["a"])).count() == 1
 
 
+def test_sharding_cuts_only_groups_larger_than_a_shard(spark):
+    r = random.Random(22)
+    texts = [f"{k} {prose(r.randint(1, 12), r)}" for k in range(4000)]
+    total = sum(len(x) + 16 for x in texts) / 0.883
+    for share, text in ((0.017, "a" * 24), (0.1, "b" * 34)):
+        texts += [text] * int(total * share / (len(text) + 16))
+    rows = sharding.shard_documents(docs(spark, texts)).collect()
+    by = defaultdict(list)
+    for x in rows:
+        by[x.shard].append(x)
+    assert all(sorted(x.slot for x in own) == list(range(len(own))) for own in by.values()) and len(rows) == len(texts)
+    shards = lambda t: {x.shard for x in rows if texts[x.doc_id] == t}
+    assert len(shards("a" * 24)) == 1 and 4 <= len(shards("b" * 34)) <= 6
+    sizes = [sum(x.size for x in own) for own in by.values()]
+    assert len(by) == 40 and max(sizes) < 1.1 * sum(sizes) / 40
+
+
+def test_sharding_ranks_many_small_copies_in_parts(spark):
+    rows = spark.createDataFrame([(k % 7, None if k % 3 else f"some text {k} " * 50) for k in range(3000)], "doc_id long, text string")
+    by = defaultdict(list)
+    for x in sharding.shard_documents(rows, shards=4).collect():
+        by[x.shard].append(x)
+    assert sum(map(len, by.values())) == 3000 and all(sorted(x.slot for x in own) == list(range(len(own))) for own in by.values())
+    assert len({s for s, own in by.items() if any(x.size == 16 for x in own)}) == 1
+
+
 def test_capacity_is_the_smallest():
     from itertools import combinations
 
