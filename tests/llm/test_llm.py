@@ -268,42 +268,68 @@ def test_grammar_reads_clauses():
 # ---- 6
 
 
-def test_nearest(spark):
+def brute_nearest(rows, every=50):
+    """rows (vec_id, vector): of one id the smallest vector counts."""
+    one = {}
+    for k, e in rows:
+        one[k] = min(one.get(k, e), e)
+    ids = sorted(one)
+    y = np.array([one[k] for k in ids])
+    y = y / np.abs(y).max(1)[:, None]
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    out = {}
+    for at, q in enumerate(ids):
+        if q % every == 0:
+            s = y @ y[at]
+            out[q] = [(k, s[i]) for i, k in sorted(((i, k) for i, k in enumerate(ids) if k != q), key=lambda x: (-round(s[x[0]], 12), x[1]))[:5]]
+    return out
+
+
+@pytest.mark.parametrize("wanted", [None, 1e9])
+def test_nearest(spark, wanted):
     r = np.random.default_rng(12)
-    x = r.standard_normal((400, 8)).astype(np.float32)
+    x = r.integers(-8, 9, (400, 8)).astype(np.float64)
+    x[:, 0] = 9
     x[100:200] = x[100]  # a vector of a quarter of the rows
-    rows = [(k, [float(v) for v in e]) for k, e in enumerate(x)] + [(500, None), (550, [0.0] * 8), (600, [1.0, None] * 4), (650, [float("nan")] * 8), (700, [1.0] * 3), (0, [float(v) for v in x[0]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("level", F.lit("clash"))
+    x[210:250] = x[210] * 2.0 ** np.arange(40)[:, None]  # ties of different vectors, of more than 4 * 5
+    x[300], x[301], x[350] = x[300] * 2.0**-700, x[301] * 2.0**700, x[300] * 2.0**600
+    fine = [(k, [float(v) for v in e]) for k, e in enumerate(x)] + [(0, x[0].tolist()), (20, x[30].tolist()), (50, x[60].tolist()), (50, x[50].tolist())]
+    rows = [*fine, (500, None), (550, [0.0] * 8), (600, [1.0, None] * 4), (650, [float("nan")] * 8), (700, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("level", F.lit("clash"))
     got = defaultdict(list)
-    for q in nearest.nearest(df, bucket=60, budget=16.0).orderBy("query_id", "rank").collect():
+    for q in nearest.nearest(df, bucket=60, wanted=wanted, goal=1.0).orderBy("query_id", "rank").collect():
         got[q.query_id].append((q.rank, q.vec_id, q.score))
-    y = x.astype(np.float64)
-    norm = np.sqrt((y * y).sum(1))
-    assert sorted(got) == list(range(0, 400, 50))
+    best = brute_nearest(fine)
+    assert sorted(got) == sorted(best)
     for q, found in got.items():
-        s = y @ y[q] / (norm * norm[q])
-        best = sorted((k for k in range(400) if k != q), key=lambda k: (-round(s[k], 12), k))[:5]
-        assert [k for _, k, _ in found] == best and [n for n, _, _ in found] == [1, 2, 3, 4, 5]
-        assert all(math.isclose(v, s[k], abs_tol=1e-12) for _, k, v in found)
-    assert nearest.nearest(df.limit(0)).count() == 0
-    assert nearest.nearest(df.where("vec_id = 0")).count() == 0
+        assert [k for _, k, _ in found] == [k for k, _ in best[q]] and [n for n, _, _ in found] == [1, 2, 3, 4, 5]
+        assert all(math.isclose(v, s, abs_tol=1e-12) for (_, _, v), (_, s) in zip(found, best[q], strict=True))
+    if wanted is None:
+        assert nearest.nearest(df.limit(0)).count() == 0
+        assert nearest.nearest(df.where("vec_id = 350")).count() == 0
 
 
-def test_forest_recall(spark):
+def test_forest_wants_few_candidates_where_neighbours_are_near(spark):
     r = np.random.default_rng(13)
-    centres = r.standard_normal((20, 32))
-    x = centres[r.integers(0, 20, 1500)] + 0.7 * r.standard_normal((1500, 32))
+    centres = r.standard_normal((300, 32))
+    x = centres[r.integers(0, 300, 3000)] + 0.15 * r.standard_normal((3000, 32))
     df = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>")
+    p = nearest.planes(32)
+    entries = df.select(F.col("vec_id").alias("entry"), "embedding")
+    _, trees, wanted = nearest.fit(entries, 3000, 32, p, 1, 5, 0.95)
+    assert wanted < 3000  # not a scan
     got = defaultdict(set)
-    for q in nearest.nearest(df, bucket=300).collect():
+    for q in nearest.nearest(df, bucket=300, trees=trees, wanted=wanted).collect():
         got[q.query_id].add(q.vec_id)
     y = x / np.linalg.norm(x, axis=1)[:, None]
     hits = 0
-    for q in range(0, 1500, 50):
+    for q in range(0, 3000, 50):
         s = y @ y[q]
         s[q] = -9
         hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
-    assert hits >= 0.9 * 5 * 30
+    assert hits >= 0.9 * 5 * 60
+    loose = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(r.standard_normal((1500, 32)))], "entry long, embedding array<double>")
+    assert nearest.fit(loose, 1500, 32, p, 1, 5, 0.99)[1:] == (1, math.inf)  # a scan, and it says so
 
 
 # ---- 7
