@@ -8,8 +8,12 @@ WINDOW words count. The hash (32 bits) only finds places; words decide. Items of
 words are looked up whole: for each such length (12 at most) every run of that many words probes.
 
 A document's text is read and split once and isn't shuffled; what is shuffled is a row for each
-document and one for each hit. The broadcast is at most BROADCAST_ROWS rows of at most 21 words; a
-larger benchmark is dealt to parts of that size, and the documents are scanned once for each part.
+document and one for each hit. That holds for up to BROADCAST_ROWS rows of at most 21 words, which are
+broadcast. The fingerprints of a larger benchmark meet those of the documents in a shuffled join of
+hashes; only documents with a hash in common are read again and shuffled, once, for their words.
+
+A document is known by its doc_id and two hashes of its text, and how often it occurs is counted, so no
+row needs a number that a lost executor could change.
 
 Defined results: null and empty texts have no words and no hits, and items without words no windows.
 Rows with the same doc_id are documents of their own. Items with a null item_id make hits but aren't
@@ -95,30 +99,51 @@ def _same(window: int, gram: int) -> Column:
     )
 
 
-def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, hits (sorted spans [s, e) of words), items of each row of docs, and text_hash of its text."""
-    found, short = item_fingerprints(bench, window, gram)
-    parts = max(1, -(-found.count() // broadcast_rows))
-    made = with_fingerprints(
-        keep_columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "text", window, gram, short
-    ).select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "w", F.concat(F.array(F.lit(-1).cast("long")), "fingerprints").alias("fingerprints"))
+OWN = ("doc_id", "h1", "h2")
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return keep_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
+
+
+def _near(joined: DataFrame, window: int, gram: int, *more: Column) -> DataFrame:
+    """OWN, n_words, item, n, p, k, around, off, and the words around p instead of the whole document's."""
+    start = F.greatest(F.col("p") - (window - gram), F.lit(0))
+    return joined.select(*OWN, F.size("w").alias("n_words"), "item", "n", "p", "k", "around", "off", *more, F.slice("w", start + 1, F.col("p") + window - start).alias("near"), (F.col("p") - start).alias("at"))
+
+
+def _probe(docs: DataFrame, found: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
+    """Hits of hashes, and a row with k = -1 for each document: found is broadcast."""
+    made = with_fingerprints(_known(docs), "text", window, gram, short).select(*OWN, "w", F.concat(F.array(F.lit(-1).cast("long")), "fingerprints").alias("fingerprints"))
     # Every document's fingerprint -1 meets this row, so that documents without hits stay.
     own = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("around"), F.lit(0).alias("off"))
-    exploded = made.select("row", "doc_id", "text_hash", "w", F.explode_outer("fingerprints").alias("f")).select(  # not explode: it would infer a filter that computes the fingerprints again
-       
-        "row", "doc_id", "text_hash", "w", F.shiftright("f", 31).alias("k"), F.when(F.col("f") >= 0, F.col("f").bitwiseAND(F.lit(LOW)).cast("int")).otherwise(0).alias("p")
+    exploded = made.select(*OWN, "w", F.explode_outer("fingerprints").alias("f")).select(  # not explode: it would infer a filter that computes the fingerprints again
+        *OWN, "w", F.shiftright("f", 31).alias("k"), F.when(F.col("f") >= 0, F.col("f").bitwiseAND(F.lit(LOW)).cast("int")).otherwise(0).alias("p")
     )
-    spans = []
-    for part in range(parts):
-        some = found if parts == 1 else found.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part)
-        spans.append(exploded.join(F.broadcast(some.unionByName(own)), "k"))
-    joined = reduce(DataFrame.unionByName, spans)
+    # The number here keeps Catalyst from testing hits inside the join, which would end its generated code.
+    return _near(exploded.join(F.broadcast(found.unionByName(own)), "k"), window, gram, F.monotonically_increasing_id().alias("here"))
+
+
+def _probe_by_hash(docs: DataFrame, found: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
+    """The same for a benchmark that is too large to broadcast."""
+    made = with_fingerprints(_known(docs), "text", window, gram, short)
+    probes = made.select(*OWN, F.explode_outer("fingerprints").alias("f")).select(*OWN, F.shiftright("f", 31).alias("k"), F.col("f").bitwiseAND(F.lit(LOW)).cast("int").alias("p"))
+    met = probes.join(found.select("k").distinct(), "k", "left_semi").groupBy(*OWN).agg(F.collect_set(F.struct("k", "p")).alias("met"))
+    met = met.select(*[F.col(c).alias(f"__{c}") for c in OWN], "met")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))
+    again = _known(docs).join(met, same).select(*OWN, words(F.col("text")).alias("w"), F.explode("met").alias("m")).select(*OWN, "w", F.col("m.k").alias("k"), F.col("m.p").alias("p"))
+    hits = _near(again.join(found, "k"), window, gram, F.lit(0).cast("long").alias("here"))
+    kinds = {f.name: f.dataType for f in hits.schema}
+    each = _known(docs).select(*OWN, F.size(words(F.col("text"))).alias("n_words"), F.lit(-1).cast("long").alias("k"), F.lit(0).cast("long").alias("here"))
+    return hits.unionByName(each.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in kinds if c not in each.columns]))
+
+
+def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_words, n_hit, hits (sorted spans [s, e) of words), items of each row of docs, and h1, h2 of its text."""
+    found, short = item_fingerprints(bench, window, gram)
+    joined = (_probe if found.count() <= broadcast_rows else _probe_by_hash)(docs, found, short, window, gram)
     side = window - gram
-    # Hits take the words around them along, not the document's. The row's number here keeps Catalyst from testing hits inside the join, which would end its generated code.
-    start = F.greatest(F.col("p") - side, F.lit(0))
-    joined = joined.select("row", "doc_id", "text_hash", F.size("w").alias("n_words"), "item", "n", "p", "k", "around", "off", F.monotonically_increasing_id().alias("here"),
-        F.slice("w", start + 1, F.col("p") + window - start).alias("near"), (F.col("p") - start).alias("at"))
-    joined = joined.select("row", "doc_id", "text_hash", "n_words", "item", "n", "p", "k", "here",
+    joined = joined.select(*OWN, "n_words", "item", "n", "p", "k", "here",
         F.when(F.col("n") == window, _same(window, gram)).alias("same"),
         F.when((F.col("n") > 0) & (F.col("n") < window), F.slice("near", F.col("at") + 1, F.col("n")) == F.col("around")).alias("equal"))
     inner = F.substring("same", side + 1, gram) == "1" * gram
@@ -129,16 +154,17 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     hit = (F.col("before") + gram + F.col("after") >= window) | F.col("equal")
     start = F.when(hit, F.when(F.col("equal"), F.col("p")).otherwise(F.col("p") - F.col("before")))
     end = F.when(hit, F.when(F.col("equal"), F.col("p") + F.col("n")).otherwise(F.col("p") + gram + F.col("after")))
-    joined = joined.select("row", "doc_id", "text_hash", "n_words", "k", "here", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct(start.alias("s"), end.alias("e"))).alias("hit"))
+    joined = joined.select(*OWN, "n_words", "k", "here", F.when(hit, F.col("item")).alias("item"), F.when(hit, F.struct(start.alias("s"), end.alias("e"))).alias("hit"))
     out = (
         joined.where(((F.col("k") == -1) | F.col("hit").isNotNull()) & (F.col("here") >= 0))
-        .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
+        .groupBy(*OWN)
+        .agg(F.count_if(F.col("k") == -1).cast("int").alias("times"), F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
     )
     n_hit = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["e"]))).cast("long").alias("n"), F.greatest(a["e"], x["e"]).alias("e")),
         lambda a: a["n"])
-    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "hits", "items")
+    out = out.select(*OWN, "n_words", n_hit.alias("n_hit"), "hits", "items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return out.drop("copy")
 
 
 def is_contaminated() -> Column:
@@ -148,16 +174,16 @@ def is_contaminated() -> Column:
 def decontaminate(docs: DataFrame, bench: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs without contaminated rows; from the others the words of each hit are cut, with what stands before them.
 
-    The text of a row without hits isn't touched. Rows are matched by doc_id and the text's hash.
+    The text of a row without hits isn't touched. Rows are matched by doc_id and the text's two hashes.
     """
     hit = cut(find_passages(docs, bench, broadcast_rows=broadcast_rows).where("n_hit > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits"), is_contaminated().alias("__drop")
-    ).dropDuplicates(["__id", "__hash"]))
+        F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("hits").alias("__hits"), is_contaminated().alias("__drop")
+    ).dropDuplicates(["__id", "__h1", "__h2"]))
     side = F.broadcast(hit) if hit.count() <= broadcast_rows else hit
     piece = F.regexp_extract_all(F.col("text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     rest = F.regexp_extract("text", r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
     kept = F.filter(F.col("__pieces"), lambda _, i: ~F.exists("__hits", lambda h: (h["s"] <= i) & (i < h["e"])))
-    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").where(~F.coalesce("__drop", F.lit(False)))
+    joined = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h1")) & (F.xxhash64(F.lit("second"), "text") == F.col("__h2")), "left").where(~F.coalesce("__drop", F.lit(False)))
     joined = joined.withColumn("__pieces", F.when(F.col("__hits").isNotNull(), piece)).select("*", F.when(F.col("__hits").isNotNull(), F.concat(F.array_join(kept, ""), rest)).alias("__text"))
     return joined.select(*[F.coalesce("__text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -223,6 +223,10 @@ def test_decontamination(spark, rows):
     found = found.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"), decontamination.is_contaminated().alias("c"))
     got = {x[0]: tuple(x)[1:] for x in found.collect()}
     assert [got[k] for k in range(len(texts))] == passages_by_hand(texts, items)
+    again = [(4, texts[0]), (4, texts[0]), (4, texts[1]), (None, texts[0]), (None, None)]
+    found = decontamination.find_passages(spark.createDataFrame(again, "doc_id long, text string"), bench, broadcast_rows=rows)
+    by_hand = passages_by_hand([t for _, t in again], items)
+    assert sorted((x.doc_id or -1, x.n_words, x.n_hit) for x in found.collect()) == sorted((i or -1, n, h) for (i, _), (n, h, *_) in zip(again, by_hand, strict=True))
 
 
 def test_decontaminated_texts(spark):
