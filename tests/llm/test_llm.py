@@ -180,10 +180,38 @@ def test_quality(spark):
     assert all(rows[k].kept == (k % 10 > 3) for k in range(150))
     assert all(rows[k].score == 0 and not rows[k].kept for k in range(150, 153))
     own = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
-    kept = quality.keep_quality(own)
+    kept = quality.keep_quality(own.union(own.where("doc_id IN (4, 5, 0)")))  # repeated rows stay and go together
+    assert kept.where("doc_id IN (4, 5)").count() == 4
     assert kept.columns == own.columns and {r.doc_id for r in kept.collect()} == {k for k in range(150) if k % 10 > 3}
 
 
+def plain_em(v, rounds=400):
+    """Two classes, row by row, without patterns; v: 0 bad, 1 good, 2 silent."""
+    bad, good = v == 0, v == 1
+    q = np.where(bad.sum(1) * 2 > (bad | good).sum(1), 0.9, 0.1)  # by majority
+    for _ in range(rounds):
+        w = np.stack([q, 1 - q])
+        says, prior = np.clip((w @ bad) / (w @ (bad | good)), 1e-9, 1 - 1e-9), w.mean(1)
+        joint = np.log(prior)[:, None] + np.log(says) @ bad.T + np.log1p(-says) @ good.T
+        q = 1 / (1 + np.exp(joint[1] - joint[0]))
+    return q, says
+
+
+@pytest.mark.parametrize("low, high, wrong, share", [(0.3, 0.6, 0.02, 0.15), (0.6, 0.9, 0.1, 0.3), (0.5, 0.8, 0.02, 0.6)])
+def test_labellers_accuracies_are_found(low, high, wrong, share):
+    r = np.random.default_rng(7)
+    hit, y = np.linspace(low, high, 8), r.random(20_000) < share
+    v = np.where(r.random((20_000, 8)) < np.where(y[:, None], hit, wrong), 0, 1)
+    v[r.random(v.shape) < 0.1] = 2
+    names = ["".join(map(str, x)) for x in v.tolist()]
+    posterior, says = quality.fit_labellers(Counter(names))
+    assert np.abs(says[0] - hit).max() < 0.03 and np.abs(says[1] - wrong).max() < 0.015  # as planted
+    q, plain = plain_em(v)
+    assert np.abs(says - plain).max() < 0.01
+    assert np.abs(np.array([posterior[x] for x in names]) - (1 - q)).max() < 0.05
+    assert quality.fit_labellers({"11111111": 900, "11111110": 20, "11111101": 20})[0]["11111110"] > 0.9  # nothing that labellers agree is bad
+
+
 def test_quality_of_nothing(spark):
     model = quality.Model(empty(spark))
     assert model.scores().count() == 0 and model.keep(empty(spark)).count() == 0
@@ -260,15 +288,53 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty(spark), labels).count() == 0
 
 
+def test_toxicity_of_copies_and_long_texts(spark):
+    """Repeated rows get equal scores, a third of all rows being one; what counts may stand at the end of a long text."""
+    r = random.Random(11)
+    texts = [prose(40, r) + (" you vile rotten foulbag." if k % 4 == 0 else ".") for k in range(160)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000, texts[0])] * 80 + [(1001, prose(30_000, r) + " you vile rotten foulbag.")]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)] + [(1000, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == len(rows) and len({x.score for x in got if x.doc_id in (0, 1000)}) == 1
+    assert {x.predicted for x in got if x.doc_id in (0, 1000, 1001)} == {1}
+
+
 def test_grammar_reads_clauses():
-    g = toxicity.Grammar({"idiot": 4.0})
-    score = lambda t: max((s for s, _ in g.matches(t)), default=0)
+    g = toxicity.Grammar({"idiot": 4.0, "murder": 2.0})
+    score = lambda t: max(g.matches(t), default=0)
     assert score("you idiot.") > score("an idiot.") > score("she said an idiot.") > 0
+    assert score("idiot you.") == score("you idiot.") and score("idiot a b c you.") == score("an idiot.")
     assert score("not an idiot.") < score("an idiot.")
     assert score("I will kill you.") > 0 == score("kill time.")
+    assert score("murder you.") > score("murder.") > 0  # a threat that the lexicon knows, too
+    assert score("not an idiot. you idiot.") == score("you idiot.")
     assert score("") == score(None) == 0
 
 
+def all_paths(machines, symbols):
+    """Every path through each transducer in turn, by enumeration: (output, weight)."""
+    found = [(symbols, 0)]
+    for m in machines:
+        step = []
+        for own, weight in found:
+            open_ = [(0, (), weight)]
+            for s in own:
+                open_ = [(to, (*out, o), w + v) for state, out, w in open_ for o, v, to in m.arcs.get(state, {}).get(s, ())]
+            step += [(out, w) for state, out, w in open_ if state in m.final]
+        found = step
+    return found
+
+
+def test_composition_is_the_enumeration_of_paths():
+    r = random.Random(12)
+    machines = toxicity.parts(8)
+    whole = toxicity.reduce(toxicity.compose, machines)
+    alphabet = [toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, ("i", 3), ("i", 8), ("k", 0), ("k", 5)]
+    for _ in range(400):
+        symbols = tuple(r.choice(alphabet) for _ in range(r.randint(0, 9)))
+        assert toxicity.best_path(whole, list(symbols)) == max(w for _, w in all_paths(machines, symbols))
+
+
 # ---- 6
 
 
