@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sameleaf.llm.common import importable, keep_columns, shared_folder, table
+from sameleaf.llm.common import importable, keep_columns, remove, shared_folder, table
 from sameleaf.llm.decontamination import decontaminate
 from sameleaf.llm.line_dedup import drop_shared_lines
 from sameleaf.llm.near_duplicates import keep_one_of_each
@@ -35,6 +35,7 @@ def _counted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer rejects go, those without words among them. Repeated rows stay or go together."""
     importable(spark)
     return keep_quality(_own(docs))
 
@@ -49,16 +50,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked (sets of five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays.
+
+    Five words are the pipeline's own width; op2's contract asks for four. Of rows that share a doc_id one
+    stays; a row without doc_id or without words is linked with nothing and stays."""
     importable(spark)
     return keep_one_of_each(_own(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; from others with hits the words of the hits are cut. Null texts stay null."""
     docs = _own(docs)
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with their digests; a null text is the final id alone."""
     importable(spark)
     return pack_documents(docs)
 
@@ -75,9 +82,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents. Each stage is written to the shared folder, and taken away once the next is."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        at = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
