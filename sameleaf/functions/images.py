@@ -12,6 +12,16 @@ def average_hash(grey: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(grey, lambda x: F.when(x.cast("double") > mean, "1").otherwise("0")), ""), F.lit(""))
 
 
+def channels(size: Column, width: Column, height: Column) -> Column:
+    """Channels of raw pixels; null where they don't come out even, which no decoder takes."""
+    return F.when((width > 0) & (height > 0) & (size % (width * height) == 0) & (size > 0), (size / (width * height)).cast("int"))
+
+
+def hash_or_empty(grey: Column, n_channels: Column) -> Column:
+    """The hash, and an empty one for an image that can't be decoded."""
+    return F.when(n_channels.isNull() | grey.isNull(), "").otherwise(average_hash(grey))
+
+
 def hash_similarity(a: Column, b: Column) -> Column:
     """Equal places over the longer length; null for two empty hashes, so that no threshold lets them pass."""
     same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda p, q: F.when((p != "") & (p == q), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)

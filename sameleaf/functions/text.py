@@ -16,7 +16,7 @@ TERMINATORS = "!?;。！？；‼‽⁇⁈⁉"
 SENTENCE = rf"([^{TERMINATORS}]+([{TERMINATORS}]|$))"
 FULLWIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
 HALFWIDTH = "".join(map(chr, range(0x21, 0x7F)))
-BRACKETS = ("()", "（）", "[]", "［］", "{}", "《》", "【】", "〔〕")
+BRACKETS = ("()", "（）", "【】", "[]", "{}", "<>", "《》", "“”")
 
 
 def utf16_length(c: Column) -> Column:
@@ -50,10 +50,17 @@ def clean_sentences(c: Column, compose: bool = False) -> Column:
 
 
 def vector(c: Column) -> Column:
-    """How often each character occurs, as a map."""
-    found = F.array_distinct(F.split(c, ""))
-    found = F.filter(found, lambda x: x != "")
-    return F.map_from_arrays(found, F.transform(found, lambda x: (F.length(c) - F.length(F.replace(c, x))) / F.length(x))).cast("map<string,int>")
+    """How often each UTF-16 code unit occurs, as a map.
+
+    A unit is its character; those of characters beyond the basic plane, which a string can't hold alone,
+    are named by four hexadecimal digits."""
+    plain = F.filter(F.array_distinct(F.split(c, "")), lambda x: x != "")
+    counted = F.map_from_arrays(plain, F.transform(plain, lambda x: (F.length(c) - F.length(F.replace(c, x))) / F.length(x))).cast("map<string,int>")
+    beyond = lambda x: F.ascii(x) - 0x10000
+    name = lambda n: F.lpad(F.hex(n), 4, "0")
+    units = F.flatten(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.when(F.ascii(x) < 0x10000, F.array(x)).otherwise(F.array(name(F.shiftright(beyond(x), 10) + 0xD800), name(beyond(x) % 1024 + 0xDC00)))))
+    slow = F.map_from_arrays(F.array_distinct(units), F.transform(F.array_distinct(units), lambda x: F.size(F.filter(units, lambda y: y == x))))
+    return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), slow).otherwise(counted)
 
 
 def norm2(v: Column) -> Column:
@@ -69,10 +76,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b).cast("double"), F.sqrt(norm2(a)) * F.sqrt(norm2(b))), F.lit(0.0))
 
 
-def length_ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(utf16_length(a).cast("double"), utf16_length(b).cast("double"))
-
-
 def in_range(ratio: Column, t: float) -> Column:
     """t <= ratio <= 2 - t. It isn't symmetric: a pair may pass one way round only."""
     return (ratio >= F.lit(float(t))) & (ratio <= F.lit(2.0 - float(t)))

@@ -60,6 +60,8 @@ class RunRule:
     cut_tags: frozenset[str]
     cut_word: str = ""
     never_cut: frozenset[str] = frozenset()
+    right_tags: frozenset[str] = frozenset()
+    right_word: str = ""
     valid: Callable[[Column], Column] = field(default=lambda e: F.lit(True))
     ahead: int = 20
 
@@ -71,7 +73,7 @@ def _ends(words: str) -> str:
 def _location(e: Column) -> Column:
     no = _ends("编号 单号 证号 账号 帐号 序号 型号 公众号 服务号 序列号 版本号 手机号 证书号 专区 农村 地区 作业区 每层 分层 图层 回填层 井室 一侧 一座 道路 上路 线路")
     rooms = "^" + _ends("办公区 办公室 会议室 储藏室 试验室 教学楼")
-    return F.when(e.rlike("国$"), F.length(e) >= 2).otherwise((F.length(e) >= 3) & ~e.rlike(no) & ~e.rlike(rooms) & T.brackets_balanced(e))
+    return F.when(e.rlike("国$"), T.utf16_length(e) >= 2).otherwise((T.utf16_length(e) >= 3) & ~e.rlike(no) & ~e.rlike(rooms) & T.brackets_balanced(e))
 
 
 _NOT_HAN = "^[^一-龥]|^$"
@@ -82,17 +84,17 @@ RUNS: tuple[RunRule, ...] = (
         "organization",
         _ends("局 厅 院 所 办 公司 集团 中心 部门 政府 办事处 办公室 委员会 银行 支行 分行 典当行 基金会 合作社 十字会 协会 商会 学会 工会 联盟 学社 俱乐部 工作室 基地 园区 工厂 农场 牧场 渔场 矿场 电站 大学 中学 小学 学院 医院 幼儿园"),
         _WIDE, frozenset("c f m n p v vn".split()), _NOT_HAN, frozenset(("国家", "全国")),
-        valid=lambda e: (F.length(e) >= 6) & ~e.rlike("场所$") & T.brackets_balanced(e),
+        valid=lambda e: (T.utf16_length(e) >= 6) & ~e.rlike("场所$") & T.brackets_balanced(e),
     ),
     RunRule(
         "system", _ends("系统 平台 网站 网"), _WIDE, frozenset("c f m n p v vn".split()), "^[()（）0-9]", frozenset(("国家", "全国")),
-        valid=lambda e: (F.length(e) >= 6) & ~e.rlike(_ends("新风系统 互联网 管网 路网 上网")) & T.brackets_balanced(e),
+        valid=lambda e: (T.utf16_length(e) >= 6) & ~e.rlike(_ends("新风系统 互联网 管网 路网 上网")) & T.brackets_balanced(e),
     ),
 )
 #: Conditions on one tagged word.
 CONDITIONS: dict[str, Callable[[Column, Column], Column]] = {
-    "person": lambda word, tag: F.length(word).between(2, 10) & ((tag == "nr") | ((tag == "x") & word.rlike(f"^[{SURNAMES}]"))),
-    "mobile": lambda word, tag: (F.length(word) == 11) & (tag == "m") & word.rlike(f"1[3-9]{DIGITS}{{9}}"),
+    "person": lambda word, tag: T.utf16_length(word).between(2, 10) & ((tag == "nr") | ((tag == "x") & word.rlike(f"^[{SURNAMES}]"))),
+    "mobile": lambda word, tag: (T.utf16_length(word) == 11) & (tag == "m") & word.rlike(f"1[3-9]{DIGITS}{{9}}"),
 }
 ORDER = ("location", "organization", "system", "person", "time", "mobile", "tel", "ucc", "email", "idcard", "domain", "paper")
 
@@ -114,48 +116,67 @@ def by_condition(tokens: DataFrame, key: str, conditions: dict[str, Callable[[Co
     return tokens.select(key, F.explode(kinds).alias("type"), F.col("idx").alias("at"), F.col("word").alias("entity"))
 
 
+def _cut(words: Column, sign: str) -> Column:
+    """words from the first on that isn't marked; if all are, the last one."""
+    first = F.array_position(F.transform(words, lambda x: x[sign]), False)
+    return F.slice(words, F.when(first > 0, first.cast("int")).otherwise(F.size(words)), F.size(words))
+
+
 def by_runs(tokens: DataFrame, key: str, rules: tuple[RunRule, ...] = RUNS) -> DataFrame:
     """key, type, at, entity from runs of tokens (key, idx, word, tag).
 
     A word is a part if its tag is right, it is no punctuation, a word that ends an entity comes within
     `ahead` words (itself included), and none in between is unfit. Runs of parts are entities: cut at
-    the left as long as words are of cut tags or look wrong (the last word always stays), then checked.
+    the left, and then at the right, as long as words are of cut tags or look wrong (of words that all do
+    one stays), then checked. All rules share one sort of the words.
     """
-    out = None
-    for r in rules:
-        ok = F.coalesce(F.col("tag").isin(*sorted(r.tags)) & ~F.col("word").rlike(PUNCTUATION), F.lit(False))
-        ends = F.coalesce(F.col("word").rlike(r.ends), F.lit(False))
-        w = Window.partitionBy(key).orderBy("idx")
-        ahead = w.rowsBetween(0, r.ahead - 1)
-        marked = tokens.select(key, "idx", "word", "tag", ok.alias("ok"), ends.alias("ends"))
-        marked = marked.withColumns({"next": F.min(F.when(F.col("ends"), F.col("idx"))).over(ahead), "bad": F.min(F.when(~F.col("ok"), F.col("idx"))).over(ahead)})
-        part = F.col("ok") & F.col("next").isNotNull() & (F.col("bad").isNull() | (F.col("bad") > F.col("next")))
-        marked = marked.withColumn("part", part).withColumn("run", F.sum((~F.col("part")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("part")
-        wrong = F.col("tag").isin(*sorted(r.cut_tags)) | (F.col("word").rlike(r.cut_word) if r.cut_word else F.lit(False))
-        if r.never_cut:
-            wrong = wrong & ~F.col("word").isin(*sorted(r.never_cut))
-        runs = marked.groupBy(key, "run").agg(F.min("idx").alias("at"), F.array_sort(F.collect_list(F.struct("idx", "word", wrong.alias("wrong")))).alias("w"))
-        first = F.array_position(F.transform("w", lambda x: x["wrong"]), False)
-        kept = F.slice("w", F.when(first > 0, first.cast("int")).otherwise(F.size("w")), F.size("w"))
-        made = runs.select(key, F.lit(r.type).alias("type"), "at", F.array_join(F.transform(kept, lambda x: x["word"]), "").alias("entity"))
-        made = made.where(r.valid(F.col("entity")))
-        out = made if out is None else out.unionByName(made)
-    return out
-
-
-def deduplicate(entities: DataFrame, keys: tuple[str, ...] = ("entity", "type"), num: str = "num") -> DataFrame:
-    """One row for each key; num is how often it occurs (its own num summed), and stays as it is for what occurs once."""
+    w = Window.partitionBy(key).orderBy("idx")
+    word, tag = F.col("word"), F.col("tag")
+    fit = [F.coalesce(tag.isin(*sorted(r.tags)) & ~word.rlike(PUNCTUATION), F.lit(False)) for r in rules]
+    marked = tokens.select(key, "idx", "word", "tag", *[c.alias(f"ok{k}") for k, c in enumerate(fit)], *[F.coalesce(word.rlike(r.ends), F.lit(False)).alias(f"ends{k}") for k, r in enumerate(rules)])
+    ahead = {}
+    for k, r in enumerate(rules):
+        span = w.rowsBetween(0, r.ahead - 1)
+        ahead |= {f"next{k}": F.min(F.when(F.col(f"ends{k}"), F.col("idx"))).over(span), f"bad{k}": F.min(F.when(~F.col(f"ok{k}"), F.col("idx"))).over(span)}
+    marked = marked.withColumns(ahead)
+    marked = marked.withColumns({f"part{k}": F.col(f"ok{k}") & F.col(f"next{k}").isNotNull() & (F.col(f"bad{k}").isNull() | (F.col(f"bad{k}") > F.col(f"next{k}"))) for k in range(len(rules))})
+    marked = marked.withColumns({f"run{k}": F.sum((~F.col(f"part{k}")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k in range(len(rules))})
+
+    def wrong(tags: frozenset[str], pattern: str, r: RunRule) -> Column:
+        out = F.coalesce(tag.isin(*sorted(tags)), F.lit(False)) if tags else F.lit(False)
+        out = out | word.rlike(pattern) if pattern else out
+        return out & ~word.isin(*sorted(r.never_cut)) if r.never_cut else out
+
+    each = F.array(*[F.when(F.col(f"part{k}"), F.struct(F.lit(k).alias("rule"), F.col(f"run{k}").alias("run"), wrong(r.cut_tags, r.cut_word, r).alias("left"), wrong(r.right_tags, r.right_word, r).alias("right"))) for k, r in enumerate(rules)])
+    found = marked.select(key, "idx", "word", F.explode(F.array_compact(each)).alias("r")).select(key, "idx", "word", "r.*")
+    runs = found.groupBy(key, "rule", "run").agg(F.min("idx").alias("at"), F.array_sort(F.collect_list(F.struct("idx", "word", "left", "right"))).alias("w"))
+    kept = runs.select(key, "rule", "at", _cut(F.col("w"), "left").alias("w"))
+    kept = kept.select(key, "rule", "at", F.reverse(_cut(F.reverse("w"), "right")).alias("w"))
+    made = kept.select(key, "rule", "at", F.array_join(F.transform("w", lambda x: x["word"]), "").alias("entity"))
+    type_, ok = F.lit(None).cast("string"), F.lit(False)
+    for k, r in enumerate(rules):
+        type_, ok = F.when(F.col("rule") == k, F.lit(r.type)).otherwise(type_), F.when(F.col("rule") == k, r.valid(F.col("entity"))).otherwise(ok)
+    return made.where(ok).select(key, type_.alias("type"), "at", "entity")
+
+
+def deduplicate(entities: DataFrame, keys: tuple[str, ...] = ("entity", "type"), num: str = "num", order: str | None = None) -> DataFrame:
+    """One row for each key; num is how often it occurs (its own num summed), and stays as it is for what occurs once.
+
+    With an order the smallest of each key stays, as that column."""
     has = num in entities.columns
     n = F.coalesce(F.col(num), F.lit(1)) if has else F.lit(1)
-    out = entities.groupBy(*keys).agg(F.sum(n).alias("__n"), F.count("*").alias("__c"), (F.first(num) if has else F.lit(None).cast("int")).alias("__f"))
-    return out.select(*keys, F.when(F.col("__c") > 1, F.col("__n")).otherwise(F.col("__f")).cast("int").alias(num))
+    first = [F.min(order).alias(order)] if order else []
+    out = entities.groupBy(*keys).agg(F.sum(n).alias("__n"), F.count("*").alias("__c"), (F.first(num) if has else F.lit(None).cast("int")).alias("__f"), *first)
+    return out.select(*keys, F.when(F.col("__c") > 1, F.col("__n")).otherwise(F.col("__f")).cast("int").alias(num), *([order] if order else []))
 
 
 def extract(df: DataFrame, key: str, text: str = "text", tagger: Callable[[Column], Column] | None = None, tagged: str | None = None) -> DataFrame:
-    """key, entity, type, num of every rule. Words come from `tagged` (array of word and tag) or from a tagger; without either only patterns run."""
+    """key, entity, type, num of every rule, and position: its rule's place in ORDER and its own within the rule. Words come from `tagged` (array of word and tag) or from a tagger; without either only patterns run."""
     found = by_pattern(df, key, text)
     words = F.col(tagged) if tagged else tagger(F.col(text)) if tagger else None
     if words is not None:
         tokens = df.select(key, F.posexplode(words).alias("idx", "t")).select(key, "idx", "t.word", "t.tag")
         found = found.unionByName(by_condition(tokens, key)).unionByName(by_runs(tokens, key))
-    return deduplicate(found, (key, "entity", "type"))
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("type")).cast("int")
+    found = found.withColumn("position", F.struct(place.alias("rule"), F.col("at").cast("int").alias("at")))
+    return deduplicate(found, (key, "entity", "type"), order="position")

@@ -25,9 +25,19 @@ def at_least(df: DataFrame, n: int) -> DataFrame:
     return df.where(T.utf16_length(F.col("text")) >= n)
 
 
+PAINTS = ("paintImageXObject", "paintInlineImageXObject", "paintInlineImageXObjectGroup", "paintImageXObjectRepeat", "paintXObject")
+
+
 def image_first(images: DataFrame) -> DataFrame:
-    """Paint operations named img_..., one for each page, name and size, and one for each document and name: the first."""
+    """Paint operations named img_..., one for each page, name and size, and one for each document and name: the first.
+
+    If there are columns op (the operation's name) and found (whether the reference could be resolved), other
+    operations and images that weren't found go before that."""
     images = images.where(F.col("name").startswith("img_"))
+    if "op" in images.columns:
+        images = images.where(F.col("op").isin(*PAINTS))
+    if "found" in images.columns:
+        images = images.where(F.coalesce("found", F.lit(False)))
     for part in (["file_hash", "page", "name", "width", "height"], ["file_hash", "name"]):
         r = F.row_number().over(Window.partitionBy(*part).orderBy("page", "ord"))
         images = images.withColumn("__r", r).where("__r = 1").drop("__r")

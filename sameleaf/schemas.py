@@ -4,7 +4,6 @@ VECTOR = "map<string,int>"
 DOCUMENTS = "file_hash string, file_name string, file_path string, metadata map<string,string>"
 SENTENCES = f"file_hash string, page int, ord int, text string, vector {VECTOR}"
 IMAGES = "file_hash string, page int, ord int, name string, image string, image_hash string, width int, height int"
-GLYPHS = "file_hash string, page int, seq int, str string, font string, height double, width double, x double, y double, page_width double"
 PAIRS = "pair_id string, i int, j int, hash_l string, hash_r string, name_l string, name_r string"
 SIDE = "struct<text:string,textB:string,pageNumber:int>"
 TEXT_MATCH = f"struct<a:{SIDE},b:{SIDE},similarity:double>"
@@ -13,10 +12,9 @@ METADATA_MATCH = "struct<label:string,a:string,b:string,same:boolean>"
 RESULTS = (
     "groupid string, uuid string, names array<string>, files array<string>, "
     f"textSimilarities array<{TEXT_MATCH}>, imageMatches array<{IMAGE_MATCH}>, metadataMatches array<{METADATA_MATCH}>, "
-    "starttime bigint, addtime bigint, duration string, "
+    "starttime bigint, addtime bigint, duration bigint, "
     "settings struct<text:struct<threshold:double,minLength:int>,image:struct<similarity:double,minSize:int>>"
 )
-TOKENS = "doc_id long, idx int, word string, tag string"
 ENTITIES = "entity string, type string, num int"
 PARSED = (
     "fileName string, filePath string, fileHash string, metadata struct<info:map<string,string>>, "

@@ -38,6 +38,10 @@ class Store:
     def by_hash(self, name: str, schema: str, file_hash: str) -> DataFrame:
         return self.read(name, schema).where(F.col("file_hash") == file_hash)
 
+    def keep_originals(self, found: DataFrame) -> None:
+        """The files themselves (file_hash, file_name, content), each content once."""
+        self.add_parsed("originals", new_only(found.select("file_hash", "file_name", "content"), None), "file_hash string, file_name string, content binary")
+
     def append_results(self, results: DataFrame) -> None:
         results.write.mode("append").partitionBy("groupid").parquet(f"{self.path}/results")
 
@@ -45,11 +49,18 @@ class Store:
         out = self.read("results", schemas.RESULTS)
         return out if group is None else out.where(F.col("groupid") == group)
 
+    def result(self, group: str) -> DataFrame | None:
+        """A group's results; None for a group that isn't there."""
+        found = self.results(group)
+        return None if found.isEmpty() else found
+
     def export_json(self, results: DataFrame, name: str) -> None:
         results.write.mode("overwrite").json(f"{self.path}/result/{name}")
 
     def import_json(self, name: str | None = None) -> DataFrame:
-        """Results from JSON files, of one object (also pretty-printed) or of one a line; broken ones are left out."""
+        """Results from JSON files, of one object (also pretty-printed) or of one a line; broken ones are left out. Nothing there gives no rows."""
+        if not self._exists(f"result/{name}" if name else "result"):
+            return self.spark.createDataFrame([], schemas.RESULTS)
         reader = self.spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
         whole = reader.text(f"{self.path}/result/{name}" if name else f"{self.path}/result")
         lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")

@@ -21,8 +21,13 @@ def tables(spark):
 def test_compare_and_history(spark, tmp_path):
     docs, sentences, images = tables(spark)
     told = []
-    engine = DocumentComparator(spark, Settings().update(text={"min_length": 5}), Store(spark, str(tmp_path)))
-    rows = {tuple(r.names): r for r in engine.compare(docs, sentences, images, progress=lambda *x: told.append(x)).collect()}
+    engine, lines, heard = DocumentComparator(spark, Settings().update(text={"min_length": 5}), Store(spark, str(tmp_path))), [], {}
+    set_log_handler(lines.append)
+    rows = engine.compare(docs.withColumn("file_path", F.concat(F.lit("/in/"), "file_name")), sentences, images, progress=lambda *x: told.append(x), pair_progress={"text": lambda p: lambda *x: heard.__setitem__(p, x)})
+    set_log_handler(None)
+    rows = {tuple(r.names): r for r in rows.collect()}
+    assert rows["f0", "f1"].files == ["/in/f0", "/in/f1"] and rows["f0", "f1"].duration == rows["f0", "f1"].addtime - rows["f0", "f1"].starttime > 0
+    assert set(heard) == {r.uuid for r in rows.values()} and heard[rows["f0", "f1"].uuid][1] == "1 / 1" and any("compared text: 1 matches" in x for x in lines)
     assert len(rows) == 3 and told[-1][:2] == ("1.0000", "4 / 4")
     same = rows["f0", "f1"]
     assert [m.similarity for m in same.textSimilarities] == [1.0]
@@ -35,6 +40,9 @@ def test_compare_and_history(spark, tmp_path):
     again = {tuple(r.names): r for r in engine.compare(docs, sentences, images, tender=tender).collect()}
     assert not again["f0", "f1"].textSimilarities
     assert engine.history().count() == 6
+    pair = engine.compare_pair(docs, sentences, images, "h1", "h0").collect()
+    assert [(r.names, r.files, len(r.textSimilarities)) for r in pair] == [(["f1", "f0"], ["h1", "h0"], 1)]
+    assert engine.store.result("none") is None and engine.store.import_json("none").count() == 0
 
 
 def test_empty_documents(spark):
@@ -63,6 +71,9 @@ def test_files_and_store(spark, tmp_path):
     for _ in range(2):
         store.add_parsed("files", rows, "file_hash string, file_name string")
     assert store.read("files", "file_hash string, file_name string").count() == 1
+    store.keep_originals(found)
+    kept = store.by_hash("originals", "file_hash string, file_name string, content binary", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad").collect()
+    assert [bytes(r.content) for r in kept] == [b"abc"]
 
 
 def test_parsed_json(spark, tmp_path):

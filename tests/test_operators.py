@@ -145,12 +145,21 @@ def test_deduplication(spark):
     assert {(x.entity, x.num) for x in E.deduplicate(df).collect()} == {("a", 2), ("b", None), ("c", 7), ("d", 5)}
 
 
+def test_right_cut(spark):
+    rule = E.RunRule("r", "Z$", frozenset("nv"), frozenset(), right_tags=frozenset("v"))
+    rows = [(1, 0, "a", "n"), (1, 1, "xZ", "v"), (2, 0, "yZ", "v"), (2, 1, "zZ", "v")]
+    tokens = spark.createDataFrame(rows, "doc_id long, idx int, word string, tag string")
+    assert {(x.doc_id, x.entity) for x in E.by_runs(tokens, "doc_id", (rule,)).collect()} == {(1, "a"), (2, "yZ")}
+
+
 def test_extract_runs_all_rules(spark):
-    df = spark.createDataFrame([(1, "见《法》", [("王小明", "nr"), ("位于", "v"), ("北京市", "ns"), ("。", "x")])], "doc_id long, text string, words array<struct<word:string,tag:string>>")
+    df = spark.createDataFrame([(1, "见《法》", [("王小明", "nr"), ("位于", "v"), ("北京市", "ns"), ("。", "x"), ("北京市", "ns")])], "doc_id long, text string, words array<struct<word:string,tag:string>>")
     assert {(x.type, x.entity) for x in E.extract(df, "doc_id", tagged="words").collect()} == {("paper", "《法》"), ("person", "王小明"), ("location", "北京市")}
 
 
 def test_image_first(spark):
+    odd = spark.createDataFrame([("f", 1, 0, "img_a", 1, 1, "paintXObject", None), ("f", 1, 1, "img_b", 1, 1, "fill", True), ("f", 1, 2, "img_c", 1, 1, "paintXObject", True)], "file_hash string, page int, ord int, name string, width int, height int, op string, found boolean")
+    assert [x.ord for x in S.image_first(odd).collect()] == [2]
     rows = [("f", 1, 0, "img_a", 1, 1), ("f", 1, 1, "img_a", 1, 1), ("f", 2, 2, "img_a", 2, 2), ("f", 1, 3, "other", 1, 1)]
     got = S.image_first(spark.createDataFrame(rows, "file_hash string, page int, ord int, name string, width int, height int"))
     assert [x.ord for x in got.collect()] == [0]

@@ -13,6 +13,7 @@ def one(spark, c, **columns):
 
 def test_vector_and_cosine(spark):
     assert one(spark, T.vector(F.col("x")), x="aab") == {"a": 2, "b": 1}
+    assert one(spark, T.vector(F.col("x")), x="a😀a😃") == {"a": 2, "D83D": 2, "DE00": 1, "DE03": 1}
     cos = T.cosine(T.vector(F.col("x")), T.vector(F.col("y")))
     assert one(spark, cos, x="aab", y="abb") == 0.7999999999999998
     assert one(spark, cos, x="投标文件应当密封", y="投标文件必须密封") == 0.7499999999999999
@@ -33,7 +34,7 @@ def test_sentences(spark):
 
 def test_scalars(spark):
     assert one(spark, T.utf16_length(F.col("x")), x="a😀中") == 4
-    assert [one(spark, T.brackets_balanced(F.col("x")), x=x) for x in (")(", "(a", "《》", "")] == [True, False, True, True]
+    assert [one(spark, T.brackets_balanced(F.col("x")), x=x) for x in (")(", "(a", "《》", "", "<", "“”", "”", "［")] == [True, False, True, True, False, True, False, True]
     assert [one(spark, T.duration(F.lit(ms))) for ms in (0, 61_000, 3_600_000, 90_061_000)] == ["0秒", "1分钟1秒", "1小时0秒", "1天1小时1分钟1秒"]
     assert one(spark, T.percent(F.lit(1), F.lit(3))) == "0.3333"
     assert one(spark, T.basename(F.col("x")), x="/a/b.pdf") == "b.pdf"
@@ -46,6 +47,8 @@ def test_image_hashes(spark):
         assert one(spark, I.average_hash(F.array(*map(F.lit, grey)))) == wanted
     same = I.hash_similarity(F.col("x"), F.col("y"))
     assert [one(spark, same, x=x, y=y) for x, y in (("0011", "0010"), ("", "0011"), ("", ""))] == [0.75, 0.0, None]
+    assert [one(spark, I.channels(F.lit(n), F.lit(2), F.lit(2))) for n in (12, 16, 13, 0)] == [3, 4, None, None]
+    assert one(spark, I.hash_or_empty(F.array(F.lit(0.0), F.lit(1.0)), F.lit(None).cast("int"))) == ""
     assert I.differing(100, 0.9) == 9
 
 
