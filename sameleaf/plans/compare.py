@@ -43,7 +43,11 @@ class DocumentComparator:
         s = self.settings.text
         some = at_least(sentences, s.min_length)
         some = J.exclude(some, tender, s.threshold, drop_without_candidates=s.drop_without_candidates, drop_vectors=s.drop_vectors, on=["file_hash"])
-        return J.text_join(*self._sides(some.select("file_hash", "page", "ord", "text", "vector"), pairs), s.threshold, ["pair_id"])
+        # Different texts are compared once over all documents; where they occur meets the pairs after that.
+        some = some.join(pairs.select(F.explode(F.array("hash_l", "hash_r")).alias("file_hash")).distinct(), "file_hash", "left_semi")
+        found = J.text_join(some, some, s.threshold, carry=("file_hash",))
+        of = pairs.select("pair_id", F.col("hash_l").alias("a_file_hash"), F.col("hash_r").alias("b_file_hash"))
+        return found.join(of, ["a_file_hash", "b_file_hash"]).drop("a_file_hash", "b_file_hash")
 
     def compare_images(self, pairs: DataFrame, images: DataFrame) -> DataFrame:
         s = self.settings.image
