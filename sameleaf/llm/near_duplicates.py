@@ -14,8 +14,8 @@ Equal sets are one class from then on. Only components are wanted, so no bucket
    their pairs counted exactly inside the task, which hands on a tree of the links. Components are what
    these trees connect.
 Buckets and groups of more than BLOCK classes are dealt to blocks. First each block is looked at alone.
-Then, in groups, one class of each component that is left stands for it in blocks of such classes, for
-TURNS turns. What is still apart is settled exactly: the members of the largest component stay in
+Then, in groups whose members would have to visit more than VISITS blocks each, one class of each
+component that is left stands for it in blocks of such classes, for TURNS turns at most. What is still apart is settled exactly: the members of the largest component stay in
 their block, and the others visit all blocks, a batch at a time. So no cap ends the search, a task
 holds two blocks at most, and a family of copies that do link costs its own size, not its square.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, cut_in_loop, keep_columns, table
 
-SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP, TURNS = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23, 2
+SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP, TURNS, VISITS = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23, 2, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTS = np.random.default_rng(11).integers(1, 1 << 63, 2 * SKETCH, dtype=np.uint64)
 
@@ -382,14 +382,23 @@ def _links(docs: DataFrame, groups: DataFrame, alone: DataFrame, width: int, num
         now = cut(now.join(apart, "grp"))
         if now.isEmpty():
             break
-        if turn < TURNS:
+        exact = turn == TURNS or _visits(now, block) <= VISITS
+        if not exact:
             columns = F.struct("id", "least", "f1", "f2")
             now = now.groupBy("grp", "comp").agg(F.min_by(columns, F.xxhash64("id", F.lit(turn))).alias("c")).select("grp", "comp", "c.*")
             now = now.join(now.groupBy("grp").agg(F.count("*").alias("m")), "grp")
-        labels = contract(labels, check(_visiting(now, "grp", F.col("m"), block, turn == TURNS)))
+        labels = contract(labels, check(_visiting(now, "grp", F.col("m"), block, exact)))
+        if exact:
+            break
     return labels
 
 
+def _visits(members: DataFrame, block: int) -> float:
+    """How many visits a member (grp, comp, m) of a large group would make, on average."""
+    most = members.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.max("m").alias("m")).groupBy("grp").agg(F.max("m").alias("m"), F.max("n").alias("n"))
+    return most.agg(F.sum((F.col("m") - F.col("n")) * F.ceil(F.col("m") / block)) / F.sum("m")).first()[0] or 0
+
+
 def link_components(docs: DataFrame, width: int = WIDTH, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     made = cut(sketches(docs, width))

@@ -109,8 +109,9 @@ def near_texts():
     return texts + [texts[-1]] * 20 + [prose(30_000, r)]
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block, visits", [(512, 16), (8, 0)])
+def test_near_duplicates(spark, block, visits, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "VISITS", visits)  # 0: with turns of representatives
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates.link_components(docs(spark, texts), 4, block=block).where("doc_id IS NOT NULL").collect()}
     assert [got[k] for k in range(len(texts))] == [(n, c, c == k) for k, (n, c) in enumerate(components_by_hand(texts, 4))]
