@@ -7,12 +7,15 @@ isn't padded. With
 f(j) = penalty(j) + LENGTH - p(j) + min over i in the window of (f(i) + p(i)), the minimum comes from
 a monotone queue, so a cut costs constant time.
 
-Each partition packs its own rows as a stream: at most about CHUNK tokens and one document are held,
-and the last, unfinished sequence of a chunk goes on in the next. Nothing is shuffled, so no key,
-source or group of copies gathers anywhere; a partition leaves one sequence that may be short.
+Each partition packs its own rows as a stream: at most about CHUNK tokens and a slice of SLICE bytes (or
+one document) are held, and the last, unfinished sequence of a chunk goes on in the next. Nothing is
+shuffled, so no key, source or group of copies gathers anywhere; a partition leaves one sequence that may
+be short.
 
 A word's ids don't depend on the words around it (the tokenizer splits at white space first), so each
-worker keeps the ids of words that it has met, CACHE at most.
+worker keeps the ids of words that it has met, CACHE at most. A slice's words are counted off in Arrow, so
+that each different one is looked up once. Words of LATIN go to pieces as the tokenizer takes them, and
+its pieces that are new are merged without its normalizer and its splits.
 
 Defined results: null and empty texts are the final id alone. Repeated rows are packed each. A text
 is never cut short. Empty input gives no pieces.
@@ -20,20 +23,28 @@ is never cut short. Empty input gives no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import keep_columns, single_threaded, table
 
-LENGTH, GRID, SENTENCE, HARD, END, CHUNK, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 1_200_000
+LENGTH, GRID, SENTENCE, HARD, END, CHUNK, SLICE, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 1 << 23, 1_200_000
 POWERS = tuple(1 << k for k in range(11))
 BETWEEN = "<|endoftext|>"
 STOPS = (".", "!", "?", "。", "！", "？")
+#: Words of these are the same under NFC, and Python lower-cases them as the tokenizer does.
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ¡¿«»–—“”‘’…]*")
+#: The tokenizer's own pieces, and what they are in a lower-cased word of LATIN.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 def default_tokenizer() -> str:
@@ -52,6 +63,27 @@ def _plain(x: str, apart: Callable[[str], bool]) -> tuple[str, str]:
     return (base.lower() if base.isascii() and base.isalpha() and base.lower() != x else base), tail
 
 
+def _merger(tokenizer):
+    """The same merges for pieces between blanks, as they are; None for a tokenizer of another kind."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    own, vocabulary = json.loads(tokenizer.to_str()), tokenizer.get_vocab()
+    first, then = (own["normalizer"] or {}).get("normalizers", []), (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if (
+        [x["type"] for x in first + then] != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        or (first[1]["pattern"], first[1]["content"]) != ({"Regex": r"\s+"}, " ")
+        or (then[0]["pattern"], then[0]["behavior"], then[0]["invert"]) != ({"Regex": SPLIT}, "Removed", True)
+        or (then[1]["add_prefix_space"], then[1]["use_regex"]) != (False, False)
+        or (own["model"]["type"], own["model"]["end_of_word_suffix"]) != ("BPE", "</w>")
+        or not all(x + "</w>" in vocabulary for x in ByteLevel.alphabet())
+        or not all("<|" in x["content"] for x in own["added_tokens"])
+    ):
+        return None
+    blanks = {"type": "CharDelimiterSplit", "delimiter": " "}
+    return Tokenizer.from_str(json.dumps({**own, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [blanks, then[1]]}}))
+
+
 class Words:
     """Encodes whole texts, word by word, with the ids of words met before."""
 
@@ -66,6 +98,7 @@ class Words:
 
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.merger = _merger(self.tokenizer)
         self.tails = {x: self._ids(x) for x in ("", ",", ".")}
         self.letters: dict[str, bool] = {}
 
@@ -79,42 +112,73 @@ class Words:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _merge(self, words: list[str], between: str, tokenizer) -> None:
+        """Many words are encoded at once. A piece's last token says that it ends; between others stands a special token."""
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
+            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            if between == " ":
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                starts = np.append(0, ends[:-1])
+            else:
+                gaps = np.flatnonzero(ids == self.between)
+                starts, ends = np.append(0, gaps + 1), np.append(gaps, len(ids))
+            own = ids.tobytes()
+            for x, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                self.known[x] = own[a:b]
+
     def _learn(self, new: list[str]) -> None:
-        """Many words are encoded at once. One of ASCII letters is one run of the tokenizer's, and its last
-        token says that the word ends; between others stands a special token."""
-        whole, odd = [], []
+        """Words of LATIN are looked up as their pieces; of others the last stop is taken off, where _plain does so."""
+        known, latin, parts, pieces, odd = self.known, [], {}, set(), set()
         for x in new:
-            if x.isascii() and x.isalpha():
-                whole.append(x)
-            elif "<|" in x:
-                self.known[x] = self._ids(x)
+            if "<|" in x:
+                known[x] = self._ids(x)
+            elif self.merger and LATIN.fullmatch(x):
+                latin.append(x)
+            else:
+                base, tail = _plain(x, self.apart)
+                parts[x] = (base, tail) if tail else (base,)
+                odd.add(base)
+                (pieces if self.merger else odd).update(parts[x][1:])
+        same = []
+        for x, low in zip(latin, "\n".join(latin).lower().split("\n"), strict=False):
+            if low.isalpha():
+                pieces.add(low)
+                if low != x:
+                    same.append((x, low))
             else:
-                odd.append(x)
-        for words, between in ((whole, " "), (odd, BETWEEN)):
-            for k in range(0, len(words), 5000):
-                part = words[k : k + 5000]
-                ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                if between == " ":
-                    ends = np.flatnonzero(self.closing[ids]) + 1
-                    starts = np.append(0, ends[:-1])
-                else:
-                    gaps = np.flatnonzero(ids == self.between)
-                    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(ids))
-                for x, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
-                    self.known[x] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
+                parts[x] = PIECES.findall(low)
+                pieces.update(parts[x])
+        self._merge([x for x in pieces if x not in known], " ", self.merger)
+        self._merge([x for x in odd if x not in known], BETWEEN, self.tokenizer)
+        for x, low in same:
+            known[x] = known[low]
+        for x, own in parts.items():
+            known[x] = b"".join(map(known.__getitem__, own))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        different, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         known = self.known
-        new = set().union(*split).difference(known) if split else ()
-        plain = {x: _plain(x, self.apart) for x in new}
-        self._learn([x for x in {base for base, _ in plain.values()} if x not in known])
-        for x, (base, tail) in plain.items():
-            if x is not base:
-                known[x] = known[base] + self.tails[tail]
-        return [np.frombuffer(b"".join(map(known.__getitem__, x)), np.uint32) for x in split]
+        if len(known) > CACHE:
+            known.clear()
+        own = list(map(known.get, different))
+        new = [x for x, ids in zip(different, own, strict=True) if ids is None]
+        if new:
+            self._learn(new)
+            own = [known[x] if ids is None else ids for x, ids in zip(different, own, strict=True)]
+        ids = np.frombuffer(b"".join(own), np.uint32)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first, n = np.cumsum(size) - size, size[which]
+        ends = np.append(0, np.cumsum(n))
+        at = np.repeat(first[which] - ends[:-1], n)
+        at += np.arange(len(at))
+        ids = ids[at]
+        bounds = ends[np.append(0, np.cumsum(split.value_lengths().to_numpy()))].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _SHARED: dict[str, Words] = {}
@@ -200,6 +264,16 @@ def pack_chunk(parts: list[tuple], stops: np.ndarray, last: bool, length: int =
     return pieces, rest, len(begins) - (not last)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """In parts of about SLICE bytes of text, or of one document."""
+    size = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - size) // SLICE
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     path = tokenizer or default_tokenizer()
@@ -228,9 +302,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
 
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
-                texts = [x or "" for x in some.column("text").to_pylist()]
+            for some in slices(batch):
+                texts = pc.fill_null(some.column("text").cast(pa.large_string()), "")
                 for doc, ids in zip(some.column("doc_id").to_pylist(), words.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(END))
                     parts.append((doc, len(ids), 0, ids))

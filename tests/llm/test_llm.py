@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -529,6 +530,63 @@ def test_words_are_encoded_as_the_tokenizer_does():
     check()
 
 
+class Told:
+    """A tokenizer that tells what it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.own.encode_batch_fast(texts, **more)
+
+    def encode(self, text, **more):
+        self.texts.append(text)
+        return self.own.encode(text, **more)
+
+
+def test_words_are_learned_by_pieces():
+    """What a word adds to known pieces is all that is encoded for it; the whole tokenizer sees none of it."""
+    words = packing.Words(packing.default_tokenizer())
+    whole = Told(words.tokenizer)
+    words.tokenizer = whole
+    if getattr(words, "merger", None):
+        words.merger = Told(words.merger)
+    words.encode(["straße 's"])
+    given, text = len(whole.texts), "STRAßE### Straße### straße... straße's STRAßE'S"
+    assert words.encode([text])[0].tolist() == whole.own.encode(text, add_special_tokens=False).ids
+    assert whole.texts[given:] == [] and sorted(words.merger.texts[-1].split(" ")) == ["###", "..."]
+
+
+def test_pieces_are_those_of_the_tokenizer():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    words = packing.Words(packing.default_tokenizer())
+    whole = lambda x: words.tokenizer.encode(x, add_special_tokens=False).ids
+    letters = [c for c in map(chr, range(0x3000)) if packing.LATIN.fullmatch(c)]
+    assert words.merger and len(letters) > 150
+    text = " ".join(f"{a}{b}" for a in letters for b in letters)
+    assert words.encode([text])[0].tolist() == whole(text)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("'sStTlLmMdDrevE1."), st.sampled_from(letters))), max_size=5))
+    def check(x):
+        assert words.encode(x + [" ".join(x)])[-1].tolist() == whole(" ".join(x))
+
+    check()
+
+
+@pytest.mark.parametrize("part", [1, 40, 1 << 23])
+def test_slices_hold_every_row_once(monkeypatch, part):
+    monkeypatch.setattr(packing, "SLICE", part)
+    texts = ["", None, "a b", "", "x" * 100, None, "é y", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": texts})
+    made = [x.to_pylist() for x in packing.slices(batch)]
+    assert [y for x in made for y in x] == batch.to_pylist() and all(made)
+    assert list(packing.slices(batch.slice(0, 0))) == [] and len(list(packing.slices(batch.slice(4, 1)))) == 1
+
+
 @pytest.mark.parametrize("length", [16, 24, 2048])
 def test_cuts_are_the_cheapest(length):
     """With runs that aren't padded, as 1, 2, 4, ... below the length are powers of two."""
