@@ -7,10 +7,10 @@ isn't padded. With
 f(j) = penalty(j) + LENGTH - p(j) + min over i in the window of (f(i) + p(i)), the minimum comes from
 a monotone queue, so a cut costs constant time.
 
-Each partition packs its own rows as a stream: at most about CHUNK tokens and a slice of SLICE bytes (or
-one document) are held, and the last, unfinished sequence of a chunk goes on in the next. Nothing is
-shuffled, so no key, source or group of copies gathers anywhere; a partition leaves one sequence that may
-be short.
+Each partition packs its own rows as a stream: at most about CHUNK tokens and one document are packed at
+once, a slice of SLICE bytes (or one document) is held beside them, and the last, unfinished sequence of a
+chunk goes on in the next. Nothing is shuffled, so no key, source or group of copies gathers anywhere; a
+partition leaves one sequence that may be short.
 
 A word's ids don't depend on the words around it (the tokenizer splits at white space first), so each
 worker keeps the ids of words that it has met, CACHE at most. A slice's words are counted off in Arrow, so
@@ -308,8 +308,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
                     ids = np.append(ids, np.uint32(END))
                     parts.append((doc, len(ids), 0, ids))
                     held += len(ids)
-                if held >= CHUNK:
-                    yield out(False)
+                    if held >= CHUNK:
+                        yield out(False)
         if parts:
             yield out(True)
 
