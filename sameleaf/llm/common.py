@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,41 @@ def keep_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Drops what an operator keeps in a worker process from task to task, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_others(keep: str | None) -> None:
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Memory that Arrow's pool and malloc hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for a worker process, which outlives it: other operators' caches go first, and memory that f freed isn't held when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(keep)
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def single_threaded() -> None:
     for k in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS"):
         os.environ[k] = "false" if k.startswith("TOK") else "1"

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_columns, table
+from .common import cut, keep_columns, lean, table
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Keys in a shard, about; bytes of all shards that may be broadcast; probes by shard keep keys above this part at home.
@@ -157,7 +157,7 @@ def shared_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
             h = hashes(list(found))
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(found.values()), pa.int64())], ["h1", "h2", "n"])
 
-    counted = keep_columns(docs, "text").mapInArrow(distinct, "h1 long, h2 long, n long")
+    counted = keep_columns(docs, "text").mapInArrow(lean(distinct), "h1 long, h2 long, n long")
     return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
 
 
@@ -233,7 +233,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
         return look
 
-    return docs.mapInArrow(_apply(list(carry), count, min_docs, min_chars, schema, texts), schema)
+    return docs.mapInArrow(lean(_apply(list(carry), count, min_docs, min_chars, schema, texts)), schema)
 
 
 def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, carry, texts) -> DataFrame:
@@ -259,7 +259,7 @@ def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, ca
             to = shard_of(np.ascontiguousarray(h[:, 1]), shards).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(to), *(pa.array(h[:, k]) for k in range(3))], ["shard", "row", "h1", "h2"])
 
-    sent = keep_columns(docs, "__row", "text").mapInArrow(probes, "shard long, row long, h1 long, h2 long")
+    sent = keep_columns(docs, "__row", "text").mapInArrow(lean(probes), "shard long, row long, h1 long, h2 long")
     wide = arrays.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *PARTS)
     narrow = sent.select("shard", F.lit(1).alias("kind"), "row", "h1", "h2", *[F.lit(None).cast(arrays.schema[c].dataType).alias(c) for c in PARTS])
 
@@ -279,7 +279,7 @@ def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, ca
                     shard, key, start = Shard(row), at[k], k + 1
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    hits = wide.unionByName(narrow).repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "row long, h1 long, h2 long")
+    hits = wide.unionByName(narrow).repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(answer), "row long, h1 long, h2 long")
     hits = hits.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("h1", "h2")).alias("__hits"))
     joined = docs.join(hits, "__row", "left").select(*carry, *(["text"] if "text" not in carry else []), "__hits")
 
@@ -290,7 +290,7 @@ def _probe_by_shard(docs, lines, arrays, shards, min_docs, min_chars, schema, ca
             out = [(x in f or x in hot.value) and _long_enough(k, min_chars) for (_, keys), f in zip(rows, found, strict=True) for k, x in zip(keys, map(tuple, hashes(keys).tolist()), strict=True)]
             yield _results(batch, carry, rows, np.array(out, bool), texts)
 
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(lean(finish), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

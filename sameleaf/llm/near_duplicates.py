@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, cut_in_loop, keep_columns, table
+from .common import cut, cut_in_loop, keep_columns, lean, table
 
 SKETCH, BANDS, FIRST, BLOCK, WIDTH, SLAB, DEVIATIONS, BITMAP, TURNS, VISITS = 128, 32, 6, 512, 5, 100_000, 4.5, 1 << 23, 2, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bs, pa.list_(pa.int64())), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
     docs = keep_columns(docs, "doc_id", "text")
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(lean(make), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 # ---- groups of candidates
@@ -216,7 +216,7 @@ def _connect(members: DataFrame, threshold: float, block: int) -> DataFrame:
         yield from out(True)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select(*names, "sketch").repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "visits").mapInArrow(find, "a long, b long").distinct()
+    return members.select(*names, "sketch").repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "visits").mapInArrow(lean(find), "a long, b long").distinct()
 
 
 def _visiting(members: DataFrame, key: str, size: Column, block: int, comps: bool) -> DataFrame:
@@ -283,7 +283,7 @@ def _some_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.select(["doc_id", "text"]).filter(pa.array(hit == 1))
 
     rows = keep_columns(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP)).alias("bit"))
-    return rows.mapInArrow(some, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(lean(some), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def verified(docs: DataFrame, members: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
@@ -330,7 +330,7 @@ def verified(docs: DataFrame, members: DataFrame, width: int, num: int, den: int
         yield made()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(n, "grp", "block").sortWithinPartitions("grp", "block", "visits", "id").mapInArrow(check, "a long, b long").distinct()
+    return texts.repartition(n, "grp", "block").sortWithinPartitions("grp", "block", "visits", "id").mapInArrow(lean(check), "a long, b long").distinct()
 
 
 # ---- components

@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import keep_columns, single_threaded, table
+from .common import KEPT, give_back, keep_columns, lean, single_threaded, table
 
 LENGTH, GRID, SENTENCE, HARD, END, CHUNK, SLICE, CACHE = 2048, 32, 3, 12, 1, 1 << 21, 1 << 23, 1_200_000
 POWERS = tuple(1 << k for k in range(11))
@@ -174,14 +175,18 @@ class Words:
         size = np.fromiter(map(len, own), np.int64, len(own)) // 4
         first, n = np.cumsum(size) - size, size[which]
         ends = np.append(0, np.cumsum(n))
-        at = np.repeat(first[which] - ends[:-1], n)
-        at += np.arange(len(at))
-        ids = ids[at]
         bounds = ends[np.append(0, np.cumsum(split.value_lengths().to_numpy()))].tolist()
+        kind = np.int32 if max(len(ids), bounds[-1]) < 1 << 31 else np.int64
+        from_ = (first[which] - ends[:-1]).astype(kind)
+        del split, words, different, which, own, new, first, ends  # as large as what follows
+        at = np.repeat(from_, n)
+        at += np.arange(len(at), dtype=kind)
+        ids = ids[at]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _SHARED: dict[str, Words] = {}
+KEPT["packing"] = _SHARED.clear
 
 
 def shared_words(path: str) -> Words:
@@ -193,18 +198,19 @@ def shared_words(path: str) -> Words:
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The cheapest ends of runs, among the rising positions `at` (0 first; the last is always an end)."""
-    place = np.full(int(at[-1]) + 1, -1, np.int64)  # of each position among the ends
+    place = np.full(int(at[-1]) + 1, -1, np.int32)  # of each position among the ends
     place[at] = np.arange(len(at))
-    to, start = [], []
+    to, start = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for s in POWERS:
         if s < length:
-            j = np.flatnonzero(at >= s)
+            j = np.flatnonzero(at >= s).astype(np.int32)
             i = place[at[j] - s]
             to.append(j[i >= 0])
             start.append(i[i >= 0])
-    to, start = np.concatenate([[], *to]).astype(np.int64), np.concatenate([[], *start]).astype(np.int64)
+    to, start = np.concatenate(to), np.concatenate(start)
     order = np.argsort(to, kind="stable")
-    start, first = start[order].tolist(), np.searchsorted(to[order], np.arange(len(at) + 1)).tolist()
+    start, first = array("i", start[order].tobytes()), np.searchsorted(to[order], np.arange(len(at) + 1, dtype=np.int32)).tolist()
+    del place, to, order
     p, pen, n = at.tolist(), penalty.tolist(), len(at)
     f, g, back = [0.0] * n, [0.0] * n, [0] * n
     queue, head = [0], 0
@@ -310,11 +316,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
                     held += len(ids)
                     if held >= CHUNK:
                         yield out(False)
+                give_back()
         if parts:
             yield out(True)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(pack, schema)
+    return docs.mapInArrow(lean(pack, "packing"), schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep_columns, table
+from .common import KEPT, cut, keep_columns, lean, table
 
 DIM, SAMPLE, CACHE, STEPS, ROUNDS, LEAST = 1024, 4000, 400_000, 400, 200, 0.2
 LABELLERS = ("plain", "pairs", "trigrams", "bigrams", "neighbours", "signs", "sentences", "capitals")
@@ -71,6 +71,7 @@ class Known(dict):
 
 
 _KNOWN = Known()
+KEPT["quality"] = _KNOWN.clear
 
 
 def _new(h: np.ndarray, k: int, ok: np.ndarray | None = None) -> float:
@@ -207,7 +208,7 @@ class Model:
                     value.append(v)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(n, pa.int64()), pa.array(pattern, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["doc_id", "h1", "h2", "n", "votes", "at", "value"])
 
-        self.table = cut(known(docs).mapInArrow(look, f"doc_id {kind}, h1 long, h2 long, n long, votes string, at array<int>, value array<float>"))
+        self.table = cut(known(docs).mapInArrow(lean(look, "quality"), f"doc_id {kind}, h1 long, h2 long, n long, votes string, at array<int>, value array<float>"))
         self.posterior, self.says = fit_labellers({r["votes"]: r["count"] for r in self.table.groupBy("votes").count().collect()})
         good = [x for x, p in self.posterior.items() if p > 0.5]
         h = F.xxhash64("doc_id").alias("h")
@@ -220,7 +221,7 @@ class Model:
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["weights"])
 
         # At most 2 * sample rows come to this task; the driver gets the weights alone.
-        fitted = sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(fit, "weights array<double>").first()
+        fitted = sides[0].unionByName(sides[1]).coalesce(1).mapInArrow(lean(fit, "quality"), "weights array<double>").first()
         self.weights = np.array(fitted["weights"]) if fitted else fit_scorer([])
 
     def scores(self) -> DataFrame:
@@ -237,7 +238,7 @@ class Model:
                 weak = [posterior[x] for x in batch.column("votes").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(out, pa.float64()), pa.array([x >= 0.5 for x in out], pa.bool_()), pa.array(weak, pa.float64()), batch.column("votes")], ["doc_id", "h1", "h2", "score", "kept", "weak", "votes"])
 
-        return self.table.mapInArrow(score, f"doc_id {self.table.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, score double, kept boolean, weak double, votes string")
+        return self.table.mapInArrow(lean(score, "quality"), f"doc_id {self.table.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, score double, kept boolean, weak double, votes string")
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that the scorer keeps, with all their columns."""

@@ -1,8 +1,12 @@
 import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sameleaf.llm import near_duplicates, packing, quality
+from sameleaf.llm.common import give_back
 
 from .test_llm import junk_and_prose, prose
 
@@ -40,3 +44,27 @@ def test_stages(spark, tmp_path):
 def test_run(spark, tmp_path):
     write(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_workers_hold_one_stage(spark, monkeypatch):
+    """A worker process outlives its tasks: a stage drops what those before it keep there, and leaves no freed memory behind."""
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) >> 10
+
+    docs, seen = spark.createDataFrame([], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    packing.pack_documents(docs)
+    near_duplicates.sketches(docs, 5)
+    r = random.Random(31)
+    texts = [" ".join(f"{chr(r.randrange(97, 123))}{r.randrange(1 << 16):x}" for _ in range(400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    quality._KNOWN["word"]
+    assert sum(x.num_rows for x in seen[0](iter([batch]))) >= len(texts)
+    assert packing._SHARED and not quality._KNOWN
+    before = held()
+    give_back()
+    assert before - held() < 30
+    assert sum(x.num_rows for x in seen[1](iter([batch.slice(0, 10)]))) == 10
+    assert not packing._SHARED and not quality._KNOWN
