@@ -59,3 +59,14 @@ def test_sentences_need_only_patterns_of_latin_characters(spark):
     assert df.select(T.clean_sentences(F.col("t")).alias("got"), whole.alias("wanted")).where("not (got <=> wanted)").count() == 0
     plan = df.select(T.clean_sentences(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"\[[^\]\n]*[^\x00-\xff][^\]\n]*\]\+", plan)
+
+
+def test_pairs_of_images_are_counted_as_they_are_made(spark):
+    r = random.Random(7)
+    hashes = ["".join(r.choice("01") for _ in range(40)) for _ in range(30)] + ["x" + "01" * 19 + "0", "x" + "01" * 19 + "1"]
+    df = spark.createDataFrame([(1, k, str(k), h, 100, 100) for k, h in enumerate(hashes)], "page int, ord int, image string, image_hash string, width int, height int")
+    made = J.image_join(df, df, 0.6, 100, 40, ordered=F.col("a_ord") < F.col("b_ord"))
+    same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / 40
+    assert {(x.a_ord, x.b_ord, x.similarity) for x in made.collect()} == {(i, j, same(hashes[i], hashes[j])) for j in range(32) for i in range(j) if same(hashes[i], hashes[j]) > 0.6}
+    join = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("bit_count" in x for x in join)  # not after pairs have been shuffled
