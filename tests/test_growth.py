@@ -70,3 +70,17 @@ def test_pairs_of_images_are_counted_as_they_are_made(spark):
     assert {(x.a_ord, x.b_ord, x.similarity) for x in made.collect()} == {(i, j, same(hashes[i], hashes[j])) for j in range(32) for i in range(j) if same(hashes[i], hashes[j]) > 0.6}
     join = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert any("bit_count" in x for x in join)  # not after pairs have been shuffled
+
+
+def test_attributes_ride_along_with_pairs(spark, tmp_path):
+    from sameleaf import queries
+
+    rows = [(k, "t", "en" if k % 3 else None, "s" if k % 4 else "r", k % 5) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.metadata_compare(spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    text = lambda x: None if x is None else str(x)
+    wanted = {(a[0], b[0], "language", a[2], b[2], a[2] == b[2]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3]}
+    wanted |= {(a[0], b[0], "size", text(a[4]), text(b[4]), a[4] == b[4]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3]}
+    wanted |= {(a[0], b[0], "author", None, None, True) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3]}
+    assert sorted(map(repr, (tuple(x[c] for c in ("i", "j", "label", "a", "b", "same")) for x in made.collect()))) == sorted(map(repr, wanted))
