@@ -14,6 +14,7 @@ from .operators import entities as E
 from .operators import joins as J
 from .operators import layout as L
 from .operators import segment as S
+from .operators.deal import deal
 from .sources.ingest import content_hash
 from .sources.store import group_rows
 
@@ -178,12 +179,16 @@ def entity_rules(spark, d):
 
 
 def entity_runs(spark, d):
-    return E.by_runs(_tokens(read(spark, d, "documents"), "doc_id"), "doc_id", PHRASES).select("doc_id", F.col("at").cast("int").alias("at"), "entity")
+    # Texts are dealt, not their words, which are several times as large.
+    docs = deal(read(spark, d, "documents").select("doc_id", "text"), 8 << 20, "doc_id")
+    return E.by_runs(_tokens(docs, "doc_id"), "doc_id", PHRASES).select("doc_id", F.col("at").cast("int").alias("at"), "entity")
 
 
 def _glyphs(spark, d):
+    """Each file has one page. They are dealt by the input's size, so that a task sorts as much at any size."""
     n = F.col("l_linenumber")
-    return read(spark, d, "lineitem").select(
+    used = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    return deal(read(spark, d, "lineitem").select(*used), 2 << 20, "l_orderkey").select(
         F.col("l_orderkey").alias("file_hash"), F.lit(1).alias("page"), (n * F.lit(10**12) + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).cast("long").alias("seq"), F.concat("l_returnflag", "l_linestatus", n.cast("string")).alias("str"),
         F.when(F.col("l_partkey") % 5 == 0, 14.0).otherwise(10.0).alias("height"), (F.col("l_suppkey") % 60 + 60).cast("double").alias("width"),
         (n * 95 + F.col("l_partkey") % 9).cast("double").alias("x"), (700 - F.floor(n / 3) * 15).cast("double").alias("y"), F.lit(600.0).alias("page_width"),

@@ -84,3 +84,33 @@ def test_attributes_ride_along_with_pairs(spark, tmp_path):
     wanted |= {(a[0], b[0], "size", text(a[4]), text(b[4]), a[4] == b[4]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3]}
     wanted |= {(a[0], b[0], "author", None, None, True) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3]}
     assert sorted(map(repr, (tuple(x[c] for c in ("i", "j", "label", "a", "b", "same")) for x in made.collect()))) == sorted(map(repr, wanted))
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_texts_are_dealt_instead_of_words(spark, tmp_path):
+    from sameleaf import queries
+    from sameleaf.operators import entities as E
+
+    spark.createDataFrame([(k, "running station of nation") for k in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.entity_runs(spark, str(tmp_path))
+    assert "text" not in made.columns and made.count() == 9
+    first = exchanges(made)
+    assert len(first) == 1 and "REPARTITION_BY_NUM" in first[0]
+    assert not any(ord(c) > 255 for c in E.PUNCTUATION)
+    words = spark.createDataFrame([(w,) for w in ["a", "é", "é。", "a.", "…", "中", "a b", "《中"]], "w string")
+    assert [x[0] for x in words.select(E._punctuated(F.col("w"))).collect()] == [False, False, True, True, True, False, True, True]
+
+
+def test_the_share_of_a_task_stays(spark, tmp_path):
+    from sameleaf import queries
+    from sameleaf.operators.deal import deal
+
+    spark.range(1000).select(*[F.col("id").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = queries.layout_paragraphs(spark, str(tmp_path))
+    first = exchanges(made)
+    assert len(first) == 1 and "REPARTITION_BY_NUM" in first[0] and made.count() == 1000
+    df = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    assert deal(df, 500, "l_orderkey").rdd.getNumPartitions() > 8 and deal(df, 1 << 30, "l_orderkey").rdd.getNumPartitions() == 4
